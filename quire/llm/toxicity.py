@@ -111,7 +111,7 @@ def compose(*parts: Transducer) -> tuple[np.ndarray, list[list[str]]]:
 #: Tags: I insult, H threat, n negated, r reported, t aimed at a target. Prior weights of their events.
 PRIOR = {"I": 2.0, "It": 3.0, "In": 0.5, "Int": 0.5, "Ir": 0.7, "Irt": 1.0, "Inr": 0.2, "Inrt": 0.2, "H": 0.5, "Ht": 2.0, "Hn": 0.1, "Hnt": 0.3, "Hr": 0.1, "Hrt": 0.5, "Hnr": 0.0, "Hnrt": 0.0}
 EVENTS = tuple(PRIOR)
-BIAS = -3.0
+BIAS = -1.5
 
 
 class Grammar:
