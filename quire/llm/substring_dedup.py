@@ -67,9 +67,11 @@ def unpack(lists) -> np.ndarray:
 def _windows(window: int):
     def rows(batch):
         for doc_id, text, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("positions"), strict=True):
+            at = unpack(anchors.as_py())
+            if not len(at):
+                continue
             words = _words(text.as_py())
             n = len(words) - window + 1
-            at = unpack(anchors.as_py())
             mark = np.zeros(len(words) + 1, np.int64)
             np.add.at(mark, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(mark, at + 1, -1)
@@ -88,7 +90,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = repeated(docs, _anchors(window), parts)
-    return repeated(docs.join(anchors, "doc_id"), _windows(window), parts)
+    # A left join, like the one that cuts the texts: both then read one exchange of the texts
+    return repeated(docs.join(anchors, "doc_id", "left"), _windows(window), parts)
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
