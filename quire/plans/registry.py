@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "render_documents"
+from collections.abc import Callable
 
-_QUERIES: dict = {}
-_SQL: dict = {}
+FLAGSHIP = "doc_markdown"
 
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
 
-def query(name: str, sql: str | None = None):
-    def add(f):
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under a name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
         _QUERIES[name] = f
         if sql is not None:
             _SQL[name] = sql
@@ -18,9 +22,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def queries() -> dict:
+def queries() -> dict[str, Callable]:
+    from quire.plans import catalog  # noqa: F401  registers
+
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    from quire.plans import catalog  # noqa: F401
+
     return dict(_SQL)
