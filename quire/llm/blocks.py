@@ -1,26 +1,22 @@
-"""Buckets of any size compared in bounded blocks, and salted joins for frequent ends of pairs."""
+"""Buckets of any size compared in blocks of bounded size; a block pair reports a forest, not all pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import Scratch
 
-BLOCK = 512
-CHUNK = 256
+def block_pairs(members: DataFrame, payload: list[str], pairs: Callable, ddl: str, block: int) -> DataFrame:
+    """What ``pairs`` finds within buckets of ``members`` (key, n, doc_id, payload...), n being the bucket's size.
 
-
-def block_pairs(members: DataFrame, payload: list[str], pairs: Callable, ddl: str) -> DataFrame:
-    """Pairs found within buckets of ``members`` (key, n, doc_id, payload...), n being the bucket's size.
-
-    A bucket of n members is dealt to ceil(n / BLOCK) blocks by a hash of the
+    A bucket of n members is dealt to ceil(n / block) blocks by a hash of the
     member.  ``pairs`` gets rows (left, right) of a block pair, right null for a
-    block with itself, as Arrow batches, and gives the pairs that it lets pass.
+    block with itself, as Arrow batches.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = members.select(
         "key", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int").alias("block"), F.struct("doc_id", *payload).alias("x")
     ).select(
@@ -35,23 +31,19 @@ def block_pairs(members: DataFrame, payload: list[str], pairs: Callable, ddl: st
     )
     side = lambda which: F.collect_list(F.when(F.col(f"at.{which}"), F.col("x")))
     grouped = dealt.groupBy("key", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(side("left").alias("left"), side("right").alias("right"))
-    return grouped.select("left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right")).mapInArrow(pairs, ddl).distinct()
+    return grouped.select("left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right")).mapInArrow(pairs, ddl)
 
 
-def attach(pairs: DataFrame, values: DataFrame, column: str, scratch: Scratch, name: str) -> DataFrame:
-    """``pairs`` (a, b) with ``a_<column>`` and ``b_<column>`` from ``values`` (doc_id, column).
+class Forest:
+    """Union-find over n nodes, kept as labels: an edge is only told if it joins two trees."""
 
-    A value is copied once for each CHUNK pairs of its id, and pairs are salted
-    alike, so an id with many partners is no hot key.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))
-    ends = scratch.save(ends, name)
-    copied = values.join(ends, "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    keyed = pairs
-    for end in ("a", "b"):
-        keyed = keyed.join(ends.select(F.col("doc_id").alias(end), F.col("salts").alias(f"{end}_salts")), end)
-    keyed = keyed.select("a", "b", *(F.pmod(F.xxhash64(o), F.col(f"{e}_salts")).cast("int").alias(f"{e}_salt") for e, o in (("a", "b"), ("b", "a"))))
-    for end in ("a", "b"):
-        s = copied.select(F.col("doc_id").alias(end), F.col("salt").alias(f"{end}_salt"), F.col(column).alias(f"{end}_{column}"))
-        keyed = keyed.join(s, [end, f"{end}_salt"])
-    return keyed.drop("a_salt", "b_salt")
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, node: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` whose edge to ``node`` joins another tree, one for each tree."""
+        labels, at = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[node]
+        if new.any():
+            self.label[np.isin(self.label, labels)] = self.label[node]
+        return others[at[new]]

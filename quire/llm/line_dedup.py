@@ -11,8 +11,10 @@ positions that the multi-match-aware bounds leave.
    another line go on (chunks of lines are pre-aggregated in the map task, so a
    segment that many lines hold is no hot key).
 3. Those lines meet per key, in blocks of bounded size; length and a letter-count
-   sketch reject most pairs.
-4. The rest is verified by a banded bit-parallel edit distance.
+   sketch reject most pairs, and a block reports a forest of the rest, which gives
+   clusters that hold every candidate pair.
+4. Within a cluster, again in blocks, pairs are verified by a banded bit-parallel
+   edit distance; a block reports a forest of links and each line's link count.
 5. Links are grouped by union-find; of each class the first line, by (doc_id,
    line number), stays and the others are removed.
 
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.blocks import attach, block_pairs
-from quire.llm.near_dedup import components
+from quire.llm.blocks import Forest, block_pairs
+from quire.llm.near_dedup import components, grouped
 from quire.llm.words import mix
 from quire.session import Scratch, ship, table
 
@@ -39,6 +41,7 @@ ORACLE_SQL = None
 MIN_CHARS = 20
 EDITS = 2
 CHUNK = 1 << 20
+BLOCK, TEXT_BLOCK = 512, 128
 
 
 def line_hash(line: str) -> int:
@@ -231,7 +234,8 @@ def _members(edits: int):
     return run
 
 
-def _near(edits: int):
+def _hinted(edits: int):
+    """Block pairs to a forest of the lines whose roles, lengths and sketches allow the distance."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def matrix(side):
@@ -245,39 +249,57 @@ def _near(edits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                left = matrix(batch.column("left")[i].as_py())
-                alone = not batch.column("right")[i].is_valid
-                right = left if alone else matrix(batch.column("right")[i].as_py())
-                found: list[tuple[int, int]] = []
-                for k in range(len(left[0])):
-                    at = slice(k + 1, None) if alone else slice(None)
-                    ids, role, chars, sk = (x[at] for x in right)
-                    fits = (ids != left[0][k]) & ((role | left[1][k]) == 3) & (np.abs(chars - left[2][k]) <= edits)
-                    where = np.flatnonzero(fits)
-                    if where.size:
-                        d = sk[where] - left[3][k]  # modulo 256
-                        where = where[np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * edits]
-                        found += [(min(left[0][k], x), max(left[0][k], x)) for x in ids[where]]
+                own = matrix(batch.column("left")[i].as_py())
+                apart, n_left = batch.column("right")[i].is_valid, len(own[0])
+                if apart:
+                    own = tuple(np.concatenate(x) for x in zip(own, matrix(batch.column("right")[i].as_py()), strict=True))
+                ids, role, chars, letters = own
+                forest, found = Forest(len(ids)), []
+                for k in range(n_left):
+                    at = np.arange(n_left if apart else k + 1, len(ids))
+                    at = at[(forest.label[at] != forest.label[k]) & ((role[at] | role[k]) == 3) & (np.abs(chars[at] - chars[k]) <= edits)]
+                    if len(at):
+                        d = letters[at] - letters[k]  # modulo 256
+                        at = at[np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * edits]
+                    if len(at):
+                        found += [(ids[k], ids[x]) for x in forest.join(k, at)]
                 if found:
-                    yield pa.RecordBatch.from_pydict({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=out)
+                    yield pa.RecordBatch.from_pydict({"a": [min(x) for x in found], "b": [max(x) for x in found]}, schema=out)
 
     return run
 
 
-def _verify(edits: int):
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _verified(edits: int):
+    """Block pairs to a forest of the links (a, b, 0) and the number of links of each line (a, a, n)."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        for b in batches:
-            ok = [edit_distance(x, y, edits) <= edits for x, y in zip(b.column("a_text").to_pylist(), b.column("b_text").to_pylist(), strict=True)]
-            t = pa.Table.from_batches([b.select(["a", "b"])]).filter(pa.array(ok, pa.bool_()))
-            yield from t.cast(out).combine_chunks().to_batches()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                side = batch.column("left")[i].as_py()
+                apart, n_left = batch.column("right")[i].is_valid, len(side)
+                side += batch.column("right")[i].as_py() if apart else []
+                chars = np.array([len(x["text"]) for x in side], np.int64)
+                letters = np.frombuffer(b"".join(sketch(x["text"]) for x in side), np.uint8).reshape(-1, 16)
+                forest, rows, degree = Forest(len(side)), [], np.zeros(len(side), np.int64)
+                for k in range(n_left):
+                    at = np.arange(n_left if apart else k + 1, len(side))
+                    d = letters[at] - letters[k]
+                    at = at[(np.abs(chars[at] - chars[k]) <= edits) & (np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * edits)]
+                    at = at[[edit_distance(side[k]["text"], side[x]["text"], edits) <= edits for x in at]] if len(at) else at
+                    if len(at):
+                        degree[k] += len(at)
+                        degree[at] += 1
+                        rows += [(side[k]["doc_id"], side[x]["doc_id"], 0) for x in forest.join(k, at)]
+                rows += [(side[k]["doc_id"], side[k]["doc_id"], degree[k]) for k in np.flatnonzero(degree)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     return run
 
 
 def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b) between hashes of different lines within ``edits`` edits."""
+    """Links between hashes of different lines within ``edits`` edits: a forest (a, b, 0) and counts (a, a, n)."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -290,9 +312,9 @@ def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int
     # a bucket needs a segment and a probe of two lines
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("role").alias("roles")).where("n > 1 AND roles = 3").select("key", "n")
     sizes = scratch.save(sizes, "sizes")
-    pairs = scratch.save(block_pairs(members.join(sizes, "key"), ["role", "chars", "sketch"], _near(edits), "a long, b long"), "line-pairs")
-    values = texts.withColumnRenamed("line", "doc_id")
-    return scratch.save(attach(pairs, values, "text", scratch, "line-salts").mapInArrow(_verify(edits), "a long, b long"), "line-links")
+    hints = scratch.save(block_pairs(members.join(sizes, "key"), ["role", "chars", "sketch"], _hinted(edits), "a long, b long", BLOCK), "line-hints")
+    groups = grouped(hints, scratch, "line").join(texts.withColumnRenamed("line", "doc_id"), "doc_id")
+    return scratch.save(block_pairs(groups, ["text"], _verified(edits), "a long, b long, n long", TEXT_BLOCK), "line-links")
 
 
 def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -302,8 +324,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: i
     ship(docs.sparkSession)
     seen = scratch.save(docs.mapInArrow(_occurrences(least), "doc_id long, line_no int, line long"), "occurrences")
     links = line_links(docs, scratch, edits, least)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = scratch.save(components(links, scratch, "line-forest"), "line-components")
+    degree = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    classes = scratch.save(components(links.where("a <> b"), scratch, "line-class"), "line-components")
     classes = classes.select("node", "component").unionByName(classes.select(F.col("component").alias("node"), "component").distinct())
     classes = scratch.save(classes.join(degree, "node").withColumnRenamed("node", "line"), "line-classes")
     placed = seen.join(classes, "line", "left").select("doc_id", "line_no", F.coalesce("component", "line").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

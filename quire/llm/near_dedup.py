@@ -8,11 +8,14 @@ a value below k no later step can change anything, so the work stops early.
 
 1. Equal sets are folded first: one representative (smallest id) for each.
 2. Representatives meet in a bucket when all rows of one band agree.  Members of
-   a bucket are compared by their signatures in blocks of bounded size, and only
-   pairs whose estimate is within ``MARGIN`` of the threshold go on.
-3. Every such pair is verified on the full shingle sets.
-4. Verified links go through union-find: each task contracts its links to a
-   spanning forest, then large-star and small-star rounds join the forests.
+   a bucket are compared by their signatures in blocks of bounded size.  Pairs
+   whose estimate is within ``MARGIN`` of the threshold are candidates; a block
+   reports a forest of them, never all pairs, and forests give clusters that hold
+   every candidate pair.
+3. Within each cluster, again in blocks, all pairs are verified on the full
+   shingle sets, and a block reports a forest of the links.
+4. Links go through union-find: each task contracts its links to a spanning
+   forest, then large-star and small-star rounds join the forests.
 
 With 24 bands of 5 rows a link at similarity 0.85 is missed with a probability
 below 1e-6; no bucket is capped: a large one is spread over block pairs.
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.blocks import attach, block_pairs
+from quire.llm.blocks import Forest, block_pairs
 from quire.llm.words import mix, window_hashes, word_hashes
 from quire.session import Scratch, ship, table
 
@@ -42,6 +45,7 @@ QUERY = "op6_near_dedup"
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
+BLOCK, SET_BLOCK = 512, 128
 MARGIN = 0.12
 
 
@@ -136,49 +140,93 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).reshape(-1)), pa.array(np.repeat(b.column("doc_id").to_numpy(), BANDS))], schema=out)
 
 
-def _pairs(least: Fraction):
-    """Pairs of one block pair whose sizes and signatures allow the similarity; one row a block pair."""
+def _candidates(least: Fraction):
+    """Block pairs to a forest of the pairs whose sizes and signatures allow the similarity."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     ratio, low = float(least), float(least) - MARGIN
 
     def matrix(side):
         ids = np.array([x["doc_id"] for x in side], np.int64)
         n = np.array([x["n_shingles"] for x in side], np.int64)
-        sig = np.frombuffer(b"".join(x["signature"] for x in side), np.uint32).reshape(len(side), SLOTS)
-        return ids, n, sig
+        return ids, n, np.frombuffer(b"".join(x["signature"] for x in side), np.uint32).reshape(len(side), SLOTS)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                left = batch.column("left")[i].as_py()
-                right = batch.column("right")[i].as_py() if batch.column("right")[i].is_valid else None
-                ids, n, sig = matrix(left)
-                ids2, n2, sig2 = (ids, n, sig) if right is None else matrix(right)
-                found_a, found_b = [], []
-                for k in range(len(ids)):
-                    at = slice(k + 1, None) if right is None else slice(None)
-                    fits = (np.minimum(n[k], n2[at]) >= ratio * np.maximum(n[k], n2[at]) - 1e-9) & (ids2[at] != ids[k])
-                    where = np.flatnonzero(fits)
-                    if where.size:
-                        same = (sig2[at][where] == sig[k]).sum(1)
-                        where = where[same >= low * SLOTS]
-                        found_a.append(np.full(where.size, ids[k]))
-                        found_b.append(ids2[at][where])
-                if found_a:
-                    a, b = np.concatenate(found_a), np.concatenate(found_b)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
+                ids, n, sig = matrix(batch.column("left")[i].as_py())
+                apart = batch.column("right")[i].is_valid
+                n_left = len(ids)
+                if apart:
+                    more = matrix(batch.column("right")[i].as_py())
+                    ids, n, sig = (np.concatenate(x) for x in zip((ids, n, sig), more, strict=True))
+                forest, found = Forest(len(ids)), []
+                for k in range(n_left):
+                    at = np.arange(n_left if apart else k + 1, len(ids))
+                    at = at[(forest.label[at] != forest.label[k]) & (np.minimum(n[k], n[at]) >= ratio * np.maximum(n[k], n[at]) - 1e-9)]
+                    if len(at):
+                        at = at[(sig[at] == sig[k]).sum(1) >= low * SLOTS]
+                    if len(at):
+                        found += [(ids[k], ids[x]) for x in forest.join(k, at)]
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": [min(x) for x in found], "b": [max(x) for x in found]}, schema=out)
+
+    return run
+
+
+def _verified(least: Fraction):
+    """Block pairs to a forest of the pairs whose full sets reach the similarity."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def common(sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of all intersections: a product of the incidence matrix with itself, in slices of shingles."""
+        own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = held[column] > 1
+        own, column = own[keep], column[keep]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        own, column = own[order], column[order]
+        total, width = np.zeros((len(sets), len(sets)), np.float64), 8192
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, (start, start + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[own[lo:hi], column[lo:hi] - start] = 1
+            total += part @ part.T
+        return total.astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                side = batch.column("left")[i].as_py()
+                apart = batch.column("right")[i].is_valid
+                n_left = len(side)
+                side += batch.column("right")[i].as_py() if apart else []
+                if len(side) < 2 or n_left == 0 or (apart and n_left == len(side)):
+                    continue
+                sets = [np.frombuffer(x["shingles"], np.uint64) for x in side]
+                size = np.array([len(s) for s in sets])
+                both = common(sets) if len(sets) > 2 else np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)))
+                linked = least.denominator * both >= least.numerator * (size[:, None] + size[None, :] - both)
+                forest, found = Forest(len(side)), []
+                for k in range(n_left):
+                    at = np.arange(n_left if apart else k + 1, len(side))
+                    at = at[linked[k, at] & (forest.label[at] != forest.label[k])]
+                    if len(at):
+                        found += [(side[k]["doc_id"], side[x]["doc_id"]) for x in forest.join(k, at)]
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": [min(x) for x in found], "b": [max(x) for x in found]}, schema=out)
 
     return run
 
 
 def _sets(size: int):
-    out = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "shingles": [shingles((t.as_py() or "").encode(), size).view(np.int64) for t in b.column("text")]}, schema=out)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "shingles": [shingles((t.as_py() or "").encode(), size).tobytes() for t in b.column("text")]}, schema=out)
 
     return run
 
@@ -248,18 +296,27 @@ def near_links(docs: DataFrame, scratch: Scratch, least: Fraction, size: int = S
     keys = scratch.save(signed.select("doc_id", "signature").mapInArrow(_bands, "key long, doc_id long"), "keys")
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     member = scratch.save(keys.join(shared, "key").join(signed, "doc_id"), "member")
-    pairs = scratch.save(block_pairs(member, ["n_shingles", "signature"], _pairs(least), "a long, b long"), "pairs")
-    return copies, verify(docs, pairs, scratch, least, size)
-
-
-def verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: Fraction, size: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    sets = docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles array<long>")
-    keyed = attach(pairs, scratch.save(sets, "sets", "lz4"), "shingles", scratch, "salts")
-    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    both = F.size("a_shingles") + F.size("b_shingles") - common
-    return scratch.save(keyed.where(least.denominator * common >= least.numerator * both).select("a", "b"), "verified")
+    hints = scratch.save(block_pairs(member, ["n_shingles", "signature"], _candidates(least), "a long, b long", BLOCK), "hints")
+    return copies, verify(docs, hints, scratch, least, size)
+
+
+def grouped(hints: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, n, doc_id) of the clusters that hints (a, b) connect, n being the cluster's size."""
+    leaves = scratch.save(components(hints, scratch, f"{name}-forest").select(F.col("component").alias("key"), F.col("node").alias("doc_id")), f"{name}-leaves")
+    sizes = leaves.groupBy("key").agg((F.count("*") + 1).alias("n"))
+    roots = sizes.select("key", "n", F.col("key").alias("doc_id"))
+    return scratch.save(leaves.join(sizes, "key").select("key", "n", "doc_id").unionByName(roots), f"{name}-groups")
+
+
+def verify(docs: DataFrame, hints: DataFrame, scratch: Scratch, least: Fraction, size: int) -> DataFrame:
+    """Links between documents of a cluster whose full shingle sets reach the similarity, as a forest.
+
+    A cluster connects all candidates, so each link lies within one; every
+    document's set is sent once for each block of its cluster.
+    """
+    groups = grouped(hints, scratch, "hint")
+    sets = docs.join(groups.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles binary")
+    return scratch.save(block_pairs(groups.join(sets, "doc_id"), ["shingles"], _verified(least), "a long, b long", SET_BLOCK), "verified")
 
 
 def near_dedup(docs: DataFrame, scratch: Scratch, least: Fraction = Fraction(4, 5), size: int = SHINGLE) -> DataFrame:
