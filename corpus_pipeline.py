@@ -50,7 +50,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 35 words that occur more than once go."""
     with Scratch(spark) as s:
-        starts = s.keep(substring_dedup.repeated_windows(docs))
+        starts = s.keep(substring_dedup.repeated_windows(docs, s))
     return _columns(substring_dedup.without(docs, starts))
 
 

@@ -1,10 +1,11 @@
 """Which of many hashed positions hold a key that occurs more than once?
 
 Keys are hashed per chunk of bounded size in the map task.  A key found twice in a
-chunk is known to repeat: its positions are marked there and one row stands for
-them in the shuffle, so a key that a third of all documents hold costs one row a
-chunk instead of one a document.  After the shuffle, rows are sorted by key and a
-run of two or more rows repeats.
+chunk is known to repeat: its positions are marked there and one entry stands for
+them in the shuffle, so a key that a third of all documents hold costs one entry
+a chunk instead of one a document.  A chunk sends one packed row to each bucket;
+a bucket is looked through as a whole by the task that gets it, and the number of
+buckets follows ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
@@ -14,19 +15,35 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.llm.words import mix
 
-DDL = "key long, key2 long, doc_id long, pos int, known boolean"
-_ROWS = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
+DDL = "bucket int, n int, keys binary, docs binary, positions binary"
+_ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("positions", pa.binary())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("positions", pa.binary())])
 CHUNK = 1 << 20
 
 
-def _flush(parts: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
-    k, k2 = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    doc = np.repeat(np.array([p[2] for p in parts], np.int64), [len(p[0]) for p in parts])
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array with equal places together, which block compression likes."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _values(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).view(kind).reshape(-1) if n else np.empty(0, kind)
+
+
+def _row(bucket: int, keys: np.ndarray, docs: np.ndarray, positions: np.ndarray) -> tuple:
+    """Entries in document order, documents as differences; keys [n, bytes]."""
+    order = np.lexsort((positions, docs))
+    docs = docs[order]
+    return bucket, len(docs), keys[order].tobytes(), _planes(np.diff(docs, prepend=0)), _planes(positions[order].astype(np.int32))
+
+
+def _flush(parts: list[tuple], buckets: int, width: int) -> pa.RecordBatch:
+    k = np.concatenate([p[1] for p in parts])
+    k2 = np.concatenate([p[2] for p in parts])
+    doc = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
     pos = np.concatenate([p[3] for p in parts]).astype(np.int32)
     order = np.lexsort((k2, k))
     k, k2, doc, pos = k[order], k2[order], doc[order], pos[order]
@@ -34,78 +51,94 @@ def _flush(parts: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> pa.Re
     again = np.zeros(len(k), bool)
     again[1:] |= same
     again[:-1] |= same
-    head = again & ~np.concatenate([[False], same])  # the first of a run stands for it
-    single = ~again
-    n_known, n_head = int(again.sum()), int(head.sum())
-    spread = mix(doc[again].view(np.uint64) + pos[again].astype(np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([k[single], k[head], spread]).view(np.int64)),
-            pa.array(np.concatenate([k2[single], k2[head], np.zeros(n_known, np.uint64)]).view(np.int64)),
-            pa.array(np.concatenate([doc[single], np.full(n_head, -1), doc[again]])),
-            pa.array(np.concatenate([pos[single], np.full(n_head, -1, np.int32), pos[again]])),
-            pa.array(np.concatenate([np.zeros(single.sum() + n_head, bool), np.ones(n_known, bool)])),
-        ],
-        schema=_ROWS,
-    )
-
-
-def hashed(rows: Callable[[pa.RecordBatch], Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]) -> Callable:
-    """A map function from ``rows``, which yields (doc_id, keys, second keys, positions) of each row."""
-
+    head = again & ~np.concatenate([[False], same])  # the first of a run stands for it, without a place
+    sent = ~again | head
+    where = np.where(head, -1, pos)[sent]
+    keys = np.concatenate([k[sent].view(np.uint8).reshape(-1, 8), k2[sent].view(np.uint8).reshape(-1, 8)], axis=1)[:, :width]
+    bucket = (k[sent] >> np.uint64(40)) % np.uint64(buckets)
+    owner = doc[sent]
+    rows = []
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b, lo, hi in zip(range(buckets), cuts[:-1], cuts[1:], strict=True):
+        if lo < hi:
+            at = order[lo:hi]
+            rows.append(_row(b, keys[at], owner[at], where[at]))
+    known_bucket = mix(doc[again].view(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(known_bucket, kind="stable")
+    cuts = np.searchsorted(known_bucket[order], np.arange(buckets + 1))
+    for b, lo, hi in zip(range(buckets), cuts[:-1], cuts[1:], strict=True):
+        if lo < hi:  # known to repeat: no keys
+            at = np.flatnonzero(again)[order[lo:hi]]
+            rows.append(_row(b, np.empty((hi - lo, 0), np.uint8), doc[at], pos[at]))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+
+
+def _hashed(rows: Callable, buckets: int, width: int) -> Callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
-            for doc_id, k, k2, pos in rows(batch):
-                if len(k):
-                    parts.append((k, k2, doc_id, pos))
-                    n += len(k)
+            for part in rows(batch):
+                if len(part[1]):
+                    parts.append(part)
+                    n += len(part[1])
                 if n >= CHUNK:
-                    yield _flush(parts)
+                    yield _flush(parts, buckets, width)
                     parts, n = [], 0
         if parts:
-            yield _flush(parts)
+            yield _flush(parts, buckets, width)
+
+    return run
+
+
+def _by_doc(docs: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(docs, kind="stable")
+    docs, positions = docs[order], positions[order]
+    cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
+    return pa.RecordBatch.from_pydict({"doc_id": docs[cut[:-1]], "positions": [positions[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=_FOUND)
+
+
+def _runs(width: int) -> Callable:
+    """All rows of a task's buckets to (doc_id, packed positions) of the entries that repeat."""
+
+    def run(batches):
+        keys, docs, positions = [], [], []
+        for b in batches:
+            for n, k, d, p in zip(*(b.column(c) for c in ("n", "keys", "docs", "positions")), strict=True):
+                n = n.as_py()
+                own, at = np.cumsum(_values(d.as_py(), n, np.int64)), _values(p.as_py(), n, np.int32)
+                if k.as_py():
+                    keys.append(np.frombuffer(k.as_py(), np.uint8).reshape(n, width))
+                    docs.append(own)
+                    positions.append(at)
+                else:
+                    yield _by_doc(own, at)
+        if not keys:
+            return
+        wide = np.zeros((sum(map(len, keys)), 16), np.uint8)
+        wide[:, :width] = np.concatenate(keys)
+        keys.clear()
+        k = wide.view(np.uint64)
+        order = np.lexsort((k[:, 1], k[:, 0])) if width > 8 else np.argsort(k[:, 0], kind="stable")
+        k = k[order]
+        same = (k[1:] == k[:-1]).all(axis=1)
+        hit = np.zeros(len(k), bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        at = order[hit]
+        own, where = np.concatenate(docs)[at], np.concatenate(positions)[at]
+        real = where >= 0
+        if real.any():
+            yield _by_doc(own[real], where[real])
 
     return run
 
 
-def _runs(batches):
-    """Sorted rows to (doc_id, packed positions) of those that repeat; a run may span batches."""
-    held: pa.RecordBatch | None = None
-
-    def found(b: pa.RecordBatch):
-        k, k2, doc, pos, known = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        own = ~known
-        at = np.flatnonzero(own)
-        same = (k[at][1:] == k[at][:-1]) & (k2[at][1:] == k2[at][:-1])
-        hit = known.copy()
-        hit[at[1:][same]] = True
-        hit[at[:-1][same]] = True
-        hit &= doc >= 0
-        doc, pos = doc[hit], pos[hit]
-        if not len(doc):
-            return None
-        order = np.argsort(doc, kind="stable")
-        doc, pos = doc[order], pos[order]
-        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-        return pa.RecordBatch.from_pydict({"doc_id": doc[cut[:-1]], "positions": [pos[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=_FOUND)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        k, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        last = (k == k[-1]) & (k2 == k2[-1])
-        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        if cut and (out := found(batch.slice(0, cut))) is not None:
-            yield out
-        held = batch.slice(cut)
-    if held is not None and (out := found(held)) is not None:
-        yield out
-
-
-def repeated(df: DataFrame, rows: Callable, parts: int) -> DataFrame:
-    """(doc_id, positions array<binary> of int32) of the positions whose key occurs elsewhere too."""
-    keyed = df.mapInArrow(hashed(rows), DDL).repartition(parts, "key").sortWithinPartitions("key", "key2")
-    return keyed.mapInArrow(_runs, "doc_id long, positions binary").groupBy("doc_id").agg(F.collect_list("positions").alias("positions"))
+def repeated(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[tuple]], parts: int, width: int) -> DataFrame:
+    """(doc_id, positions) of the positions whose key occurs elsewhere too; several rows a document.
+
+    ``rows`` yields (doc_id, keys, second keys, positions) of each row of a batch;
+    the first ``width`` bytes of both keys are compared.
+    """
+    packed = df.mapInArrow(_hashed(rows, parts, width), DDL)
+    return packed.repartition(parts, "bucket").mapInArrow(_runs(width), "doc_id long, positions binary")

@@ -6,7 +6,7 @@ both to cover positions.  Short anchors (window - period + 1 words) are hashed a
 cover positions only, so two equal windows always share an aligned anchor.
 
 1. Anchors that occur twice or more are found by their hashes (5 of 21 positions).
-2. Around a repeated anchor every window that holds it is hashed in full (128
+2. Around a repeated anchor every window that holds it is hashed in full (96
    bits): the extension of the match, which needs no pairs of positions.
 3. Windows that occur twice or more cover the words to remove.
 
@@ -66,9 +66,9 @@ def unpack(lists) -> np.ndarray:
 
 def _windows(window: int):
     def rows(batch):
-        for doc_id, text, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("positions"), strict=True):
+        for doc_id, text, anchors, copy in zip(*(batch.column(c) for c in ("doc_id", "text", "positions", "copy")), strict=True):
             at = unpack(anchors.as_py())
-            if not len(at):
+            if not len(at) or copy.as_py() == 2:
                 continue
             words = _words(text.as_py())
             n = len(words) - window + 1
@@ -77,21 +77,34 @@ def _windows(window: int):
             np.add.at(mark, at + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark)[:n] > 0)
             h = word_hashes(words)
-            yield doc_id, window_hashes(h, window, starts), window_hashes(mix(h ^ _SECOND), window, starts), starts
+            yield doc_id.as_py(), window_hashes(h, window, starts), window_hashes(mix(h ^ _SECOND), window, starts), starts
 
     return rows
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, positions): the starts of windows whose words also start elsewhere."""
+def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, copy) of documents whose text another one has too: 1 for the first of equal texts, 2 for others."""
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("text_hash")).where("text_hash IS NOT NULL")
+    groups = scratch.save(hashed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("text_hash", "first"), "copies")
+    return hashed.join(groups, "text_hash").select("doc_id", F.when(F.col("doc_id") == F.col("first"), 1).otherwise(2).alias("copy"))
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """(doc_id, positions, copy): the starts of windows whose words also start elsewhere.
+
+    All windows of a text held twice repeat (copy > 0), so only the first of equal
+    texts is hashed further, for the sake of the others.
+    """
     if window <= PERIOD:
         raise ValueError(f"windows must be longer than the period {PERIOD}")
     ship(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = repeated(docs, _anchors(window), parts)
+    marks = copies(docs, scratch).select("doc_id", F.lit(None).cast("binary").alias("positions"), "copy")
+    gather = lambda found: found.withColumn("copy", F.lit(0)).unionByName(marks).groupBy("doc_id").agg(F.collect_list("positions").alias("positions"), F.max("copy").alias("copy"))
+    anchors = gather(repeated(docs, _anchors(window), parts, 6))
     # A left join, like the one that cuts the texts: both then read one exchange of the texts
-    return repeated(docs.join(anchors, "doc_id", "left"), _windows(window), parts)
+    return gather(repeated(docs.join(anchors, "doc_id", "left"), _windows(window), parts, 12))
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -108,10 +121,10 @@ def _cut(window: int, digest: bool):
     def run(batches):
         for b in batches:
             rows = []
-            for text, positions in zip(b.column("text"), b.column("positions"), strict=True):
+            for text, positions, copy in zip(b.column("text"), b.column("positions"), b.column("copy"), strict=True):
                 raw = text.as_py()
                 words = _words(raw)
-                starts = unpack(positions.as_py())
+                starts = unpack(positions.as_py()) if not copy.as_py() else np.arange(max(0, len(words) - window + 1))
                 if len(starts):
                     gone = covered(len(words), starts, window)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -125,13 +138,13 @@ def _cut(window: int, digest: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, or their SHA-256.
 
     A text that loses nothing stays as it is, white space included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = repeated_windows(docs, window)
+    found = repeated_windows(docs, scratch, window)
     return docs.join(found, "doc_id", "left").mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -143,16 +156,16 @@ def without(docs: DataFrame, starts: DataFrame, window: int = WINDOW) -> DataFra
         cut = _cut(window, False)
         for b in batches:
             kept = next(cut([b])).column("kept")
-            yield pa.RecordBatch.from_arrays([kept if i == at else c for i, c in enumerate(b.columns[:-1])], names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([kept if i == at else c for i, c in enumerate(b.columns[:-2])], names=b.schema.names[:-2])
 
-    joined = docs.join(starts.select("doc_id", "positions"), "doc_id", "left").select(*docs.columns, "positions")
+    joined = docs.join(starts.select("doc_id", "positions", "copy"), "doc_id", "left").select(*docs.columns, "positions", "copy")
     return joined.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with Scratch(spark) as s:
-        return s.keep(substring_dedup(docs, digest=True).withColumnRenamed("kept", "kept_sha256"))
+        return s.keep(substring_dedup(docs, s, digest=True).withColumnRenamed("kept", "kept_sha256"))
 
 
 ORACLE_SQL = rf"""
