@@ -58,6 +58,23 @@ def pieces(path: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(max(t.get_vocab(with_added_tokens=True).values()) + 1)]
 
 
+def pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers with equal places together."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def values(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _blocks(buckets: int, block_bytes: int):
     def cut(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -69,17 +86,23 @@ def _blocks(buckets: int, block_bytes: int):
 
         def flush():
             nonlocal seq, ids, spans, at, seen, size
-            words = list(seen)
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
+            where = np.array(at, np.int64)
+            count = np.bincount(where, minlength=len(seen))
+            # numbered by frequency, then by spelling, so that numbers and word lists compress well
+            words = sorted(seen, key=lambda w: (-count[seen[w]], w))
             number = np.empty(len(words), np.uint32)
-            number[order] = np.arange(len(words), dtype=np.uint32)
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            packed = [b" ".join([words[i] for i in order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            where = number[np.array(at, np.int64)] if at else np.empty(0, np.uint32)
+            number[[seen[w] for w in words]] = np.arange(len(words), dtype=np.uint32)
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.uint32)
+            lists: list[list[bytes]] = [[] for _ in range(buckets)]
+            for w, b in zip(words, bucket.tolist(), strict=True):
+                lists[b].append(w)
             row = pa.RecordBatch.from_pydict(
-                {"block": [(part << 32) | seq], "ids": [ids], "spans": [spans], "at": [where.tobytes()], "words": [packed]}, schema=_BLOCK
-            )
+                {
+                    "block": [(part << 32) | seq], "ids": [ids], "spans": [spans], "at": [pack(planes(number[where]))], "route": [pack(planes(bucket))],
+                    "words": [[pack(b" ".join(x)) if x else b"" for x in lists]],
+                },
+                schema=_BLOCK,
+            )
             seq += 1
             ids, spans, at, seen, size = [], [], [], {}, 0
             return row
@@ -100,7 +123,7 @@ def _blocks(buckets: int, block_bytes: int):
     return cut
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.int32())), ("at", pa.binary()), ("words", pa.list_(pa.binary()))])
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.int32())), ("at", pa.binary()), ("route", pa.binary()), ("words", pa.list_(pa.binary()))])
 _ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("encoded", pa.binary())])
 
 
@@ -109,12 +132,12 @@ def _encode(path: str):
         tokenizer, known = load(path), {}
         for batch in batches:
             for block, bucket, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
-                words = packed.as_py().split(b" ")
+                words = unpack(packed.as_py()).split(b" ")
                 new = list(dict.fromkeys(w for w in words if w not in known))
                 for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = b" ".join(b"%d" % i for i in e.ids)
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [block.as_py()], "bucket": [bucket.as_py()], "encoded": [b"\n".join([known[w] for w in words])]}, schema=_ENCODED
+                    {"block": [block.as_py()], "bucket": [bucket.as_py()], "encoded": [pack(b"\n".join([known[w] for w in words]))]}, schema=_ENCODED
                 )
 
     return run
@@ -125,12 +148,13 @@ def _join(table: list[str], want: str, out: pa.Schema):
 
     def run(batches):
         for batch in batches:
-            for ids, spans, at, encoded in zip(*(batch.column(c) for c in ("ids", "spans", "at", "encoded")), strict=True):
-                own = [x for part in encoded.as_py() or () for x in part.split(b"\n")]
+            for ids, spans, at, route, encoded in zip(*(batch.column(c) for c in ("ids", "spans", "at", "route", "encoded")), strict=True):
+                lists = {x["bucket"]: iter(unpack(x["encoded"]).split(b"\n")) for x in encoded.as_py() or ()}
+                own = [next(lists[b]) for b in values(unpack(route.as_py())).tolist()]
                 count = np.fromiter((x.count(b" ") + 1 if x else 0 for x in own), np.int64, len(own))
                 # the id-to-piece join: once for each distinct word of the block
                 text = [b" ".join([piece[int(i)] for i in x.split()]) for x in own]
-                where = np.frombuffer(at.as_py(), np.uint32)
+                where = values(unpack(at.as_py()))
                 ends = np.cumsum(spans.as_py())
                 rows = []
                 for end, n in zip(ends.tolist(), spans.as_py(), strict=True):
@@ -165,7 +189,7 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
     own = scratch or Scratch(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        _blocks(buckets, block_bytes), "block long, ids array<long>, spans array<int>, at binary, words array<binary>"
+        _blocks(buckets, block_bytes), "block long, ids array<long>, spans array<int>, at binary, route binary, words array<binary>"
     )
     blocks = own.save(cut, "blocks")
     words = blocks.select("block", F.posexplode("words").alias("bucket", "packed")).where(F.length("packed") > 0).select("block", "bucket", "packed")
@@ -173,10 +197,10 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
         words.repartition(buckets, "bucket")
         .mapInArrow(_encode(path), "block long, bucket int, encoded binary")
         .groupBy("block")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "encoded"))), lambda x: x["encoded"]).alias("encoded"))
+        .agg(F.collect_list(F.struct("bucket", "encoded")).alias("encoded"))
     )
     out, ddl = (_DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string") if want == "digest" else (_FULL, "doc_id long, n_tokens long, ids array<int>, decoded string")
-    return blocks.select("block", "ids", "spans", "at").join(encoded, "block", "left").mapInArrow(_join(pieces(path), want, out), ddl)
+    return blocks.select("block", "ids", "spans", "at", "route").join(encoded, "block", "left").mapInArrow(_join(pieces(path), want, out), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,7 @@ def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, odds: float = 3.5,
 
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Model:
     """Stems and event weights from labelled rows outside the held-out fold."""
+    ship(spark)
     known = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
         .groupBy("doc_id")
