@@ -38,7 +38,7 @@ from quire.session import Scratch, ship, table
 QUERY = "op8_bpe_words"
 ORACLE_SQL = None
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def load(path: str):
@@ -124,7 +124,7 @@ def _blocks(buckets: int, block_bytes: int):
 
 
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.int32())), ("at", pa.binary()), ("route", pa.binary()), ("words", pa.list_(pa.binary()))])
-_ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("encoded", pa.binary())])
+_ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode(path: str):
@@ -135,9 +135,11 @@ def _encode(path: str):
                 words = unpack(packed.as_py()).split(b" ")
                 new = list(dict.fromkeys(w for w in words if w not in known))
                 for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[w] = b" ".join(b"%d" % i for i in e.ids)
+                    known[w] = np.array(e.ids, "<u4").tobytes()
+                own = [known[w] for w in words]
+                sizes = np.fromiter(map(len, own), np.uint32, len(own)) // 4
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [block.as_py()], "bucket": [bucket.as_py()], "encoded": [pack(b"\n".join([known[w] for w in words]))]}, schema=_ENCODED
+                    {"block": [block.as_py()], "bucket": [bucket.as_py()], "sizes": [pack(planes(sizes))], "ids": [pack(planes(np.frombuffer(b"".join(own), "<u4")))]}, schema=_ENCODED
                 )
 
     return run
@@ -145,15 +147,26 @@ def _encode(path: str):
 
 def _join(table: list[str], want: str, out: pa.Schema):
     piece = [p.encode() for p in table]
+    digits = [b"%d" % i for i in range(len(table))]
+
+    def words_of(sizes: bytes, ids: bytes):
+        """The ids of a bucket's words, one list a word."""
+        flat, at = values(unpack(ids)).tolist(), 0
+        for n in values(unpack(sizes)).tolist():
+            yield flat[at : at + n]
+            at += n
 
     def run(batches):
         for batch in batches:
             for ids, spans, at, route, encoded in zip(*(batch.column(c) for c in ("ids", "spans", "at", "route", "encoded")), strict=True):
-                lists = {x["bucket"]: iter(unpack(x["encoded"]).split(b"\n")) for x in encoded.as_py() or ()}
-                own = [next(lists[b]) for b in values(unpack(route.as_py())).tolist()]
-                count = np.fromiter((x.count(b" ") + 1 if x else 0 for x in own), np.int64, len(own))
-                # the id-to-piece join: once for each distinct word of the block
-                text = [b" ".join([piece[int(i)] for i in x.split()]) for x in own]
+                lists = {x["bucket"]: words_of(x["sizes"], x["ids"]) for x in encoded.as_py() or ()}
+                coded_words, text, count = [], [], []
+                for b in values(unpack(route.as_py())).tolist():
+                    own_ids = next(lists[b])
+                    coded_words.append(b" ".join([digits[i] for i in own_ids]))
+                    text.append(b" ".join([piece[i] for i in own_ids]))  # the id-to-piece join, once for each distinct word of the block
+                    count.append(len(own_ids))
+                own, count = coded_words, np.array(count, np.int64)
                 where = values(unpack(at.as_py()))
                 ends = np.cumsum(spans.as_py())
                 rows = []
@@ -195,9 +208,9 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
     words = blocks.select("block", F.posexplode("words").alias("bucket", "packed")).where(F.length("packed") > 0).select("block", "bucket", "packed")
     encoded = (
         words.repartition(buckets, "bucket")
-        .mapInArrow(_encode(path), "block long, bucket int, encoded binary")
+        .mapInArrow(_encode(path), "block long, bucket int, sizes binary, ids binary")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("bucket", "encoded")).alias("encoded"))
+        .agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("encoded"))
     )
     out, ddl = (_DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string") if want == "digest" else (_FULL, "doc_id long, n_tokens long, ids array<int>, decoded string")
     return blocks.select("block", "ids", "spans", "at", "route").join(encoded, "block", "left").mapInArrow(_join(pieces(path), want, out), ddl)
