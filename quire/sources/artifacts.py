@@ -51,7 +51,7 @@ def artefacts(df: DataFrame, stem: str, pages: str, o: render.Options = render.O
 
 def write_artefacts(rows: DataFrame, path: str, backend: str = "pipeline") -> None:
     """Artefact rows as text, a folder for each stem and artefact."""
-    rows.select("stem", F.lit(backend).alias("backend"), "artefact", F.col("payload").alias("value")).write.partitionBy("stem", "backend", "artefact").mode("overwrite").text(path, lineSep="\0")
+    rows.select("stem", F.lit(backend).alias("backend"), "artefact", F.col("payload").alias("value")).write.partitionBy("stem", "backend", "artefact").mode("overwrite").text(path)
 
 
 def response(df: DataFrame, pages: str, images: Column | None = None) -> DataFrame:

@@ -396,7 +396,7 @@ def test_stream(spark, tmp_path):
 def test_artefacts_are_written(spark, tmp_path, tree):
     rows = artifacts.artefacts(tree.select(F.lit("doc").alias("stem"), F.col("document.pdf_info").alias("pages")), "stem", "pages")
     artifacts.write_artefacts(rows, str(tmp_path / "out"))
-    back = {r.artefact: r.value for r in spark.read.option("wholetext", "true").text(str(tmp_path / "out")).collect()}
+    back = {r.artefact: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
     assert back[".md"].startswith("## Head") and len(json.loads(back["_content_list.json"])) == 12
 
 
