@@ -91,18 +91,11 @@ def _hashed(rows: Callable, buckets: int, width: int) -> Callable:
     return run
 
 
-def _by_doc(docs: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    docs, positions = docs[order], positions[order]
-    cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
-    return pa.RecordBatch.from_pydict({"doc_id": docs[cut[:-1]], "positions": [positions[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=_FOUND)
-
-
-def _runs(width: int) -> Callable:
-    """All rows of a task's buckets to (doc_id, packed positions) of the entries that repeat."""
+def _runs(width: int, buckets: int) -> Callable:
+    """All rows of a task's buckets to packed entries that repeat, one row for each bucket of documents."""
 
     def run(batches):
-        keys, docs, positions = [], [], []
+        keys, docs, positions, known = [], [], [], []
         for b in batches:
             for n, k, d, p in zip(*(b.column(c) for c in ("n", "keys", "docs", "positions")), strict=True):
                 n = n.as_py()
@@ -112,33 +105,53 @@ def _runs(width: int) -> Callable:
                     docs.append(own)
                     positions.append(at)
                 else:
-                    yield _by_doc(own, at)
-        if not keys:
-            return
-        wide = np.zeros((sum(map(len, keys)), 16), np.uint8)
-        wide[:, :width] = np.concatenate(keys)
-        keys.clear()
-        k = wide.view(np.uint64)
-        order = np.lexsort((k[:, 1], k[:, 0])) if width > 8 else np.argsort(k[:, 0], kind="stable")
-        k = k[order]
-        same = (k[1:] == k[:-1]).all(axis=1)
-        hit = np.zeros(len(k), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        at = order[hit]
-        own, where = np.concatenate(docs)[at], np.concatenate(positions)[at]
-        real = where >= 0
-        if real.any():
-            yield _by_doc(own[real], where[real])
+                    known.append((own, at))
+        if keys:
+            wide = np.zeros((sum(map(len, keys)), 16), np.uint8)
+            wide[:, :width] = np.concatenate(keys)
+            keys.clear()
+            k = wide.view(np.uint64)
+            order = np.lexsort((k[:, 1], k[:, 0])) if width > 8 else np.argsort(k[:, 0], kind="stable")
+            k = k[order]
+            same = (k[1:] == k[:-1]).all(axis=1)
+            hit = np.zeros(len(k), bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            at = order[hit]
+            own, where = np.concatenate(docs)[at], np.concatenate(positions)[at]
+            known.append((own[where >= 0], where[where >= 0]))
+        if known:
+            own, where = (np.concatenate(x) for x in zip(*known, strict=True))
+            to = mix(own.view(np.uint64)) % np.uint64(buckets)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            none = np.empty((len(own), 0), np.uint8)
+            rows = [_row(b, none[:hi - lo], own[order[lo:hi]], where[order[lo:hi]]) for b, lo, hi in zip(range(buckets), cuts[:-1], cuts[1:], strict=True) if lo < hi]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
     return run
 
 
+def _by_doc(batches):
+    """Packed entries to one row a document; a task has all entries of its documents."""
+    parts = [
+        (np.cumsum(_values(d.as_py(), n.as_py(), np.int64)), _values(p.as_py(), n.as_py(), np.int32)) for b in batches for n, d, p in zip(*(b.column(c) for c in ("n", "docs", "positions")), strict=True)
+    ]
+    if parts:
+        docs, positions = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(docs, kind="stable")
+        docs, positions = docs[order], positions[order]
+        cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
+        yield pa.RecordBatch.from_pydict({"doc_id": docs[cut[:-1]], "positions": [positions[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=_FOUND)
+
+
 def repeated(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[tuple]], parts: int, width: int) -> DataFrame:
-    """(doc_id, positions) of the positions whose key occurs elsewhere too; several rows a document.
+    """(doc_id, positions) of the positions whose key occurs elsewhere too, one row a document.
 
     ``rows`` yields (doc_id, keys, second keys, positions) of each row of a batch;
     the first ``width`` bytes of both keys are compared.
     """
     packed = df.mapInArrow(_hashed(rows, parts, width), DDL)
-    return packed.repartition(parts, "bucket").mapInArrow(_runs(width), "doc_id long, positions binary")
+    found = packed.repartition(parts, "bucket").mapInArrow(_runs(width, parts), DDL)
+    return found.repartition(parts, "bucket").mapInArrow(_by_doc, "doc_id long, positions binary")
