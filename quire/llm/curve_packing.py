@@ -6,8 +6,8 @@ are range-partitioned and sorted by (key, doc_id) and laid end to end along the
 curve; the stream is cut every 1024 tokens, so neighbours in content share
 sequences and only the very last sequence is short.
 
-Range bounds come from a sample of at most ``SAMPLE`` keys (hash order, pairs with
-the id, so equal keys are split too); the position of a range's first token is the
+Range bounds come from a random sample of about ``SAMPLE`` keys for each range (pairs
+with the id, so equal keys are split too); the position of a range's first token is the
 sum of the ranges before it: one number a range reaches the driver.
 
 Defined cases: null and empty texts are one end token; copies have equal keys and
@@ -34,7 +34,7 @@ ORACLE_SQL = None
 
 LENGTH = 1024
 DIMS, BITS = 3, 16
-SAMPLE = 100_000
+SAMPLE = 100
 _CACHED = 300_000
 
 
@@ -191,7 +191,8 @@ def curve_packing(df: DataFrame, path: str, scratch: Scratch, length: int = LENG
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, end), "key long, doc_id long, n long, ids binary")
     tokens = scratch.save(tokens, "tokens")
-    sample = tokens.select("key", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    share = min(1.0, SAMPLE * parts / max(1, tokens.count()))
+    sample = tokens.select("key", "doc_id").sample(share, seed=5).collect()  # about SAMPLE rows a range
     points = sorted((r.key, r.doc_id) for r in sample)
     bounds = [points[len(points) * i // parts] for i in range(1, parts)] if points else []
     tokens = tokens.withColumn("range", _range_of(bounds))
