@@ -283,3 +283,95 @@ def explode_blocks(df: DataFrame, pages: str = "pdf_info") -> DataFrame:
     keys = [c for c in df.columns if c != pages]
     paged = df.select(*keys, F.explode(pages).alias("page"))
     return paged.select(*keys, "page", F.posexplode(_flow(F.col("page"))).alias("block_no", "block"))
+
+
+def spans_v2(block: Column) -> Column:
+    """Spans as (content, type): neighbouring texts joined and spaced, equations and phonetics apart."""
+    kind = F.when(block["type"] == "phonetic", "phonetic").otherwise("text")
+
+    def pieces(spans):
+        def bound(x):
+            def piece(s, k):
+                c, more = s["content"], x["last"] > k
+                spaced = F.when(more, F.concat(c, F.lit(" "))).otherwise(c)
+                hyphen = s["last"] & text.ends_in_hyphen(c)
+                shown = (
+                    F.when(x["cjk"], F.when(more & ~s["last"], F.concat(c, F.lit(" "))).otherwise(c))
+                    .when(hyphen, F.when(s["lower_next"], text.without_last(c)).otherwise(c))
+                    .otherwise(spaced)
+                )
+                plain = (s["type"] == "text") & (kind == "text")
+                return F.struct(
+                    F.when(plain, shown).otherwise(c).alias("content"), F.when(s["type"] == "text", kind).when(s["type"] == "inline_equation", "equation_inline").alias("type"), text.is_blank(c).alias("blank")
+                )
+
+            return F.filter(F.transform(spans, piece), lambda p: ~p["blank"] & p["type"].isNotNull())
+
+        return let(F.struct(_last_joinable(spans).alias("last"), _cjk(spans).alias("cjk")), bound)
+
+    none = F.array().cast("array<struct<content:string,type:string>>")
+
+    def join(done, p):
+        last = F.element_at(done, -1)
+        one = lambda c: F.array(F.struct(c.alias("content"), p["type"].alias("type")))
+        merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), one(F.concat(last["content"], p["content"])))
+        together = (F.size(done) > 0) & (p["type"] == "text") & (F.try_element_at(done, F.lit(-1))["type"] == "text")
+        return F.when(together, merged).otherwise(F.concat(done, one(p["content"])))
+
+    return F.aggregate(let(_spans(block), pieces), none, join)
+
+
+#: Entry types of furniture blocks.
+FURNITURE = {"header": "page_header", "footer": "page_footer", "aside_text": "page_aside_text", "page_number": "page_number", "page_footnote": "page_footnote"}
+
+
+def content_entry_v2(block: Column, page: Column, o: Options = Options()) -> Column:
+    """A block as a nested JSON object: type, content by type, box; keys in alphabetical order."""
+    kind, size, box = block["type"], page["page_size"], block["bbox"]
+    mille = F.when(box.isNotNull(), F.array(*(F.try_divide(F.get(box, F.lit(i)) * 1000, F.get(size, F.lit(i % 2))).cast("int") for i in range(4))))
+    level, sub = text.title_level(block["level"]), F.coalesce(block["sub_type"], F.lit(""))
+    own = lambda name: F.flatten(F.transform(F.filter(block["blocks"], lambda b: b["type"] == name), spans_v2))
+    code = F.element_at(F.concat(F.array(F.array().cast("array<struct<content:string,type:string>>")), F.transform(F.filter(block["blocks"], lambda b: b["type"] == "code_body"), spans_v2)), -1)
+    items = F.filter(F.transform(block["blocks"], lambda b: F.struct(spans_v2(b).alias("item_content"), F.lit("text").alias("item_type"))), lambda i: F.size(i["item_content"]) > 0)
+    codes = F.when(sub.isin("code", "algorithm"), sub).otherwise(_unknown("code sub_type", block["sub_type"]))
+    lists = F.when(block["sub_type"].isNull() | (sub == "text"), "text_list").when(sub == "ref_text", "reference_list").otherwise(_unknown("list sub_type", block["sub_type"]))
+    entry = F.when(kind == "title", F.when(level != 0, "title").otherwise("paragraph")).when(kind.isin("text", "phonetic"), "paragraph").when(kind == "interline_equation", "equation_interline")
+    entry = entry.when(kind.isin("image", "table", "chart"), kind).when(kind == "code", codes).when(kind.isin("ref_text", "list"), "list")
+    for k, v in FURNITURE.items():
+        entry = entry.when(kind == k, v)
+
+    def shown(x):
+        spans, body, what = x["spans"], x["body"], x["what"]
+        html_body = html.embedded(body["content"], o.bucket, *o.inline)
+        source = F.when(what.isin("table", "equation_interline"), F.concat(F.lit(o.bucket + "/"), body["path"])).when(what.isin("image", "chart"), text.media_path(o.bucket, body["path"]))
+        fields = {
+            **{f"{k}_caption": F.when(what == k, own(f"{k}_caption")) for k in ("chart", "image", "table")},
+            **{f"{k}_footnote": F.when(what == k, own(f"{k}_footnote")) for k in ("chart", "image", "table")},
+            **{f"{k}_caption": F.when(what == k, own("code_caption")) for k in ("algorithm", "code")},
+            **{f"{k}_content": F.when(what == k, code) for k in ("algorithm", "code")},
+            **{f"{v}_content": F.when(what == v, spans) for v in FURNITURE.values()},
+            "code_language": F.when(what == "code", F.coalesce(block["guess_lang"], F.lit("txt"))),
+            "content": F.when(what.isin("image", "chart"), body["content"]),
+            "html": F.when(what == "table", html_body),
+            "image_source": F.when(source.isNotNull(), F.struct(source.alias("path"))),
+            "level": F.when(what == "title", level),
+            "list_items": F.when(kind == "ref_text", F.array(F.struct(spans.alias("item_content"), F.lit("text").alias("item_type")))).when(kind == "list", items),
+            "list_type": F.when(kind == "ref_text", "reference_list").when(kind == "list", lists),
+            "math_content": F.when(what == "equation_interline", body["content"]),
+            "math_type": F.when(what == "equation_interline", "latex"),
+            "paragraph_content": F.when(what == "paragraph", spans),
+            "table_nest_level": F.when(what == "table", html.table_nesting(html_body)),
+            "table_type": F.when(what == "table", F.when(html.is_complex_table(html_body), "complex_table").otherwise("simple_table")),
+            "title_content": F.when(what == "title", spans),
+        }
+        content = F.when(what.isNotNull(), F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+        tail = F.when(what.isin("image", "chart") & (sub != ""), sub)
+        return F.to_json(F.struct(mille.alias("bbox"), content.alias("content"), tail.alias("sub_type"), what.alias("type")))
+
+    return let(F.struct(spans_v2(block).alias("spans"), body_data(block).alias("body"), entry.alias("what")), shown)
+
+
+def content_list_v2(pages: Column, o: Options = Options()) -> Column:
+    """A list for each page, empty pages too, as JSON text."""
+    page = lambda p: F.concat(F.lit("["), F.array_join(F.transform(_flow(p), lambda b: content_entry_v2(b, p, o)), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(pages, page), ","), F.lit("]"))

@@ -44,3 +44,8 @@ def doc_block_texts(spark, sf_dir):
 )
 def doc_content_list(spark, sf_dir):
     return views.page_tree(spark, sf_dir).select("doc_id", render.content_list(F.col("pdf_info")).alias("content_list"))
+
+
+@query("doc_content_list_v2")
+def doc_content_list_v2(spark, sf_dir):
+    return views.page_tree(spark, sf_dir).select("doc_id", render.content_list_v2(F.col("pdf_info")).alias("content_list"))

@@ -165,6 +165,22 @@ def test_content_list(tree):
     assert got[11]["type"] == "header" and got[11]["text"] == "Journal"
 
 
+def test_content_list_v2(tree):
+    got = json.loads(tree.select(render.content_list_v2(F.col("document.pdf_info"), render.Options(bucket="images")).alias("c")).collect()[0].c)
+    assert len(got) == 2 and got[1] == [] and len(got[0]) == 12
+    page = got[0]
+    assert page[0] == {"type": "title", "content": {"level": 2, "title_content": [{"type": "text", "content": "Head*line"}]}, "bbox": [50, 50, 550, 550]}
+    assert page[1]["content"]["paragraph_content"] == [
+        {"type": "text", "content": "An example of AB  "}, {"type": "equation_inline", "content": "x^2"}, {"type": "text", "content": "end"},
+    ]
+    assert page[4]["content"] == {"image_source": {"path": "images/"}, "math_content": "E=mc^2", "math_type": "latex"}
+    assert page[5]["content"]["image_caption"] == [{"type": "text", "content": "Fig 1"}] and page[5]["content"]["content"] == "a chart"
+    assert page[6]["content"]["table_type"] == "simple_table" and page[6]["content"]["table_nest_level"] == 1
+    assert [i["item_content"][0]["content"] for i in page[7]["content"]["list_items"]] == ["- one", "two"]
+    assert page[8]["content"]["code_language"] == "py" and page[9]["type"] == "algorithm"
+    assert set(page[10]) == {"bbox"} and page[11]["type"] == "page_header"
+
+
 def test_unknown_code_raises(spark):
     bad = {"pdf_info": [{"page_idx": 0, "page_size": [1, 1], "para_blocks": [{"type": "code", "sub_type": "odd", "blocks": [block("code_body", [span("x")])]}]}]}
     rows = files.parse_documents(spark.createDataFrame([(json.dumps(bad),)], "j string"), "j")
