@@ -131,3 +131,13 @@ def cross_page_tables(spark, sf_dir):
     docs = pages.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", F.array(block).alias("b")))), lambda p: F.struct(p["page"].alias("page_idx"), p["b"].alias("para_blocks"))).alias("pages"))
     merged = docs.select("n_regionkey", tables.merged_pages(F.to_json("pages")).alias("pages"))
     return merged.select("n_regionkey", F.get_json_object("pages", "$[0].para_blocks[0].blocks[0].lines[0].spans[0].html").alias("html"), html.cell_count(F.col("html")).cast("int").alias("cells"))
+
+
+@query("wired_table_html")
+def wired_table_html(spark, sf_dir):
+    """Texts matched to a ruled 4 x 4 grid and written as HTML."""
+    from quire.operators import wired
+
+    items, cells = _items(spark, sf_dir)
+    matched = tables.match_wired_cells(items, cells, ["t"]).join(items, ["t", "item"]).withColumn("text", F.concat(F.lit("w"), F.col("item").cast("string")))
+    return wired.table_html(cells, matched, ["t"])

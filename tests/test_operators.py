@@ -418,3 +418,42 @@ def test_artefacts_are_written(spark, tmp_path, tree):
 
 def test_schema_parses(spark):
     assert spark.sql(f"SELECT from_json('{{}}', '{DOCUMENT}') AS d").count() == 1
+
+
+# ---- ruled tables and pixels ------------------------------------------------------------------
+
+
+def test_wired_grid():
+    import numpy as np
+    from quire.operators import wired
+
+    boxes = np.array([[0, 0, 100, 30], [100, 0, 200, 60], [0, 30, 50, 60], [50, 30, 100, 60], [0, 60, 200, 90]], float)
+    order = wired.cell_order(boxes)
+    grid = wired.recover_grid(boxes[order])
+    assert dict(zip(order, grid, strict=True)) == {0: (0, 0, 0, 1), 1: (0, 1, 2, 2), 2: (1, 1, 0, 0), 3: (1, 1, 1, 1), 4: (2, 2, 0, 2)}
+    got = wired.grid_html(boxes[order], grid, [f"t{i}" for i in order])
+    assert got == (
+        "<html><body><table><tr><td rowspan=1 colspan=2>t0</td><td rowspan=2 colspan=1>t1</td></tr><tr><td rowspan=1 colspan=1>t2</td><td rowspan=1 colspan=1>t3</td></tr>"
+        "<tr><td rowspan=1 colspan=3>t4</td></tr></table></body></html>"
+    )
+    assert wired.recover_grid(np.empty((0, 4))) == [] and "<table></table>" in wired.grid_html(np.empty((0, 4)), [], [])
+    assert wired.cell_text([(40, 0, 60, 9, "b"), (0, 0, 10, 9, "a")]) == "a   b"
+
+
+def test_pixels():
+    import numpy as np
+    from quire.operators import pixels
+
+    image = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    assert pixels.crop(image, (1.2, 0.5, 3.1, 2)).tolist() == image[0:2, 1:4].tolist()
+    assert pixels.turn_tall(np.zeros((6, 2))).shape == (2, 6)
+    assert pixels.quad_crop(image, [[1, 1], [9, 1], [9, 4], [1, 4]]).tolist() == image[1:4, 1:9].tolist()
+    mask = np.zeros((5, 6), bool)
+    mask[0, 0] = mask[1, 1] = mask[4, 3:6] = True
+    assert sorted(len(r) for r in pixels.regions(mask)) == [2, 3]
+    prob = np.zeros((20, 40))
+    prob[5:10, 5:30] = 0.9
+    (box, score), = pixels.text_boxes(prob, 80, 40)
+    assert abs(score - 0.9) < 1e-9 and box == [4, 4, 66, 26]
+    matrix, grid = pixels.patches(np.zeros((3, 56, 28)))
+    assert matrix.shape == (8, 1176) and grid == (4, 2)
