@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import Forest, block_pairs
+from quire.llm.bpe_words import pack, unpack
 from quire.llm.near_dedup import components, grouped
 from quire.llm.words import mix
 from quire.session import Scratch, ship, table
@@ -205,17 +206,77 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found)], schema=out)
 
 
-def _texts(least: int):
-    out = pa.schema([("line", pa.int64()), ("text", pa.string())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("lines", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+_PACKED_DDL = "bucket int, lines binary, sizes binary, data binary"
+TEXT_BYTES = 8 << 20
+
+
+def _by_bucket(lines: np.ndarray, buckets: int):
+    """(bucket, places) of the line hashes that fall to each bucket."""
+    to = (lines.view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    return [(b, order[lo:hi]) for b, lo, hi in zip(range(buckets), cuts[:-1], cuts[1:], strict=True) if lo < hi]
+
+
+def _packed_texts(least: int, buckets: int):
+    """A chunk's distinct lines, compressed together for each bucket."""
+
+    def flush(held: dict[int, bytes]) -> pa.RecordBatch:
+        lines, texts = np.array(list(held), np.int64), list(held.values())
+        rows = []
+        for b, at in _by_bucket(lines, buckets):
+            own = [texts[i] for i in at]
+            rows.append((b, lines[at].tobytes(), np.array([len(x) for x in own], np.uint32).tobytes(), pack(b"".join(own))))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
     def run(batches):
+        held, size = {}, 0
         for batch in batches:
-            own = {line_hash(x): x for _, _, x in _lines(batch, least)}
-            yield pa.RecordBatch.from_pydict({"line": list(own), "text": list(own.values())}, schema=out)
+            for _, _, line in _lines(batch, least):
+                h = line_hash(line)
+                if h not in held:
+                    held[h] = line.encode()
+                    size += len(held[h])
+                    if size >= TEXT_BYTES:
+                        yield flush(held)
+                        held, size = {}, 0
+        if held:
+            yield flush(held)
 
     return run
 
 
+def _wanted(buckets: int):
+    def run(batches):
+        for batch in batches:
+            lines = batch.column(0).to_numpy()
+            rows = [(b, lines[at].tobytes(), None, None) for b, at in _by_bucket(lines, buckets)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+    return run
+
+
+def _pick(batches):
+    """(line, text) of a bucket's wanted lines, each once."""
+    out = pa.schema([("line", pa.int64()), ("text", pa.string())])
+    wanted, held = set(), []
+    for batch in batches:
+        for lines, sizes, data in zip(*(batch.column(c) for c in ("lines", "sizes", "data")), strict=True):
+            if data.is_valid:
+                held.append((lines.as_py(), sizes.as_py(), data.as_py()))
+            else:
+                wanted.update(np.frombuffer(lines.as_py(), np.int64).tolist())
+    for lines, sizes, data in held:
+        own = [(i, h) for i, h in enumerate(np.frombuffer(lines, np.int64).tolist()) if h in wanted]
+        if own:
+            ends, text = np.cumsum(np.frombuffer(sizes, np.uint32)), unpack(data)
+            starts = ends - np.frombuffer(sizes, np.uint32)
+            wanted.difference_update(h for _, h in own)
+            yield pa.RecordBatch.from_pydict({"line": [h for _, h in own], "text": [text[starts[i] : ends[i]].decode() for i, _ in own]}, schema=out)
+
+
 def _members(edits: int):
     out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("role", pa.int32()), ("chars", pa.int32()), ("sketch", pa.binary())])
 
@@ -306,7 +367,8 @@ def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int
     keyed = docs.select("doc_id", "text").mapInArrow(_shared_keys(least, edits), "key long, line long, known boolean")
     met = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "line long").distinct()
     met = scratch.save(met, "met")
-    texts = docs.select("doc_id", "text").mapInArrow(_texts(least), "line long, text string").join(met, "line", "left_semi").dropDuplicates(["line"])
+    packed = docs.select("doc_id", "text").mapInArrow(_packed_texts(least, parts), _PACKED_DDL).unionByName(met.mapInArrow(_wanted(parts), _PACKED_DDL))
+    texts = packed.repartition(parts, "bucket").mapInArrow(_pick, "line long, text string")
     texts = scratch.save(texts, "texts")
     members = scratch.save(texts.mapInArrow(_members(edits), "key long, doc_id long, role int, chars int, sketch binary"), "members")
     # a bucket needs a segment and a probe of two lines
