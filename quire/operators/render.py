@@ -190,12 +190,14 @@ def block_markdown(block: Column, mode: str = "mm", o: Options = Options()) -> C
     kind = block["type"]
     level = text.title_level(block["level"])
     items = F.array_join(F.transform(block["blocks"], lambda b: F.concat(inline_text(b, o, prefix=False, formula=o.formula), F.lit("  \n"))), "")
+    own = inline_text(block, o, formula=o.formula)
+    heading = own if o.formula else inline_text(block, o)
+    drawn = ("image", "table", "chart", "code") if mode == "mm" else ("code",)
     shown = (
-        F.when(kind.isin("text", "interline_equation", "phonetic", "ref_text"), inline_text(block, o, formula=o.formula))
+        F.when(kind.isin("text", "interline_equation", "phonetic", "ref_text"), own)
         .when(kind == "list", F.coalesce(items, F.lit("")))
-        .when(kind == "title", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), inline_text(block, o)))
-        .when(kind.isin("image", "table", "chart"), visual_text(block, o) if mode == "mm" else F.lit(""))
-        .when(kind == "code", visual_text(block, o))
+        .when(kind == "title", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), heading))
+        .when(kind.isin(*drawn), visual_text(block, o))
         .otherwise("")
     )
     return text.strip(shown)
@@ -223,10 +225,6 @@ def body_data(block: Column) -> Column:
     return F.when(block["blocks"].isNotNull(), F.coalesce(F.get(full, F.lit(0)), empty)).otherwise(F.coalesce(first(block), empty))
 
 
-def _texts(block: Column, kind: str, o: Options) -> Column:
-    return F.transform(F.filter(block["blocks"], lambda b: b["type"] == kind), lambda b: inline_text(b, o, prefix=False))
-
-
 def content_entry(block: Column, page: Column, o: Options = Options()) -> Column:
     """A block as a flat JSON object (keys in alphabetical order; absent keys left out)."""
     kind = block["type"]
@@ -234,37 +232,42 @@ def content_entry(block: Column, page: Column, o: Options = Options()) -> Column
     mille = F.when(box.isNotNull(), F.array(*(F.try_divide(F.get(box, F.lit(i)) * 1000, F.get(size, F.lit(i % 2))).cast("int") for i in range(4))))
     level = text.title_level(block["level"])
     plain = ("text", "ref_text", "phonetic", "header", "footer", "page_number", "aside_text", "page_footnote")
-    body = body_data(block)
     sub = F.when(F.coalesce(block["sub_type"], F.lit("")) != "", block["sub_type"])
-    items = F.filter(F.transform(block["blocks"], lambda b: inline_text(b, o, prefix=False)), lambda t: ~text.is_blank(t))
     tables = F.filter(F.flatten(F.transform(F.filter(block["blocks"], lambda b: b["type"] == "table_body"), _spans)), lambda s: s["type"] == "table")
     last = lambda xs: F.when(F.size(xs) > 0, F.element_at(xs, -1))
     table_html = last(F.transform(F.filter(tables, lambda s: s["html"] != ""), lambda s: html.embedded(s["html"], o.bucket, *o.inline)))
     table_path = F.coalesce(last(F.transform(F.filter(tables, lambda s: s["image_path"] != ""), lambda s: F.concat(F.lit(o.bucket + "/"), s["image_path"]))), F.lit(""))
     codes = last(F.transform(F.filter(block["blocks"], lambda b: b["type"] == "code_body"), lambda b: code_text(b, block, o)))
     when = lambda k, c: F.when(kind == k, c)
-    fields = {
-        "bbox": mille,
-        "chart_caption": when("chart", _texts(block, "chart_caption", o)),
-        "chart_footnote": when("chart", _texts(block, "chart_footnote", o)),
-        "code_body": when("code", codes),
-        "code_caption": when("code", _texts(block, "code_caption", o)),
-        "content": F.when(kind.isin("image", "chart"), body["content"]),
-        "image_caption": when("image", _texts(block, "image_caption", o)),
-        "image_footnote": when("image", _texts(block, "image_footnote", o)),
-        "img_path": F.when(kind.isin("image", "chart"), text.media_path(o.bucket, body["path"])).when(kind == "table", table_path),
-        "list_items": when("list", items),
-        "page_idx": F.coalesce(page["page_idx"], F.lit(0)),
-        "sub_type": F.when(kind.isin("image", "chart"), sub).when(kind == "list", F.coalesce(block["sub_type"], F.lit(""))).when(kind == "code", block["sub_type"]),
-        "table_body": when("table", table_html),
-        "table_caption": when("table", _texts(block, "table_caption", o)),
-        "table_footnote": when("table", _texts(block, "table_footnote", o)),
-        "text": F.when(kind.isin(*plain, "title", "interline_equation"), inline_text(block, o)),
-        "text_format": when("interline_equation", F.lit("latex")),
-        "text_level": F.when((kind == "title") & (level != 0), level),
-        "type": F.when(kind.isin(*plain, "list", "image", "table", "chart", "code"), kind).when(kind == "title", "text").when(kind == "interline_equation", "equation"),
-    }
-    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+    children = F.transform(block["blocks"], lambda b: F.struct(b["type"].alias("type"), inline_text(b, o, prefix=False).alias("text")))
+
+    def entry(x):
+        body = x["body"]
+        texts = lambda name: F.transform(F.filter(x["children"], lambda c: c["type"] == name), lambda c: c["text"])
+        fields = {
+            "bbox": mille,
+            "chart_caption": when("chart", texts("chart_caption")),
+            "chart_footnote": when("chart", texts("chart_footnote")),
+            "code_body": when("code", codes),
+            "code_caption": when("code", texts("code_caption")),
+            "content": F.when(kind.isin("image", "chart"), body["content"]),
+            "image_caption": when("image", texts("image_caption")),
+            "image_footnote": when("image", texts("image_footnote")),
+            "img_path": F.when(kind.isin("image", "chart"), text.media_path(o.bucket, body["path"])).when(kind == "table", table_path),
+            "list_items": when("list", F.filter(F.transform(x["children"], lambda c: c["text"]), lambda t: ~text.is_blank(t))),
+            "page_idx": F.coalesce(page["page_idx"], F.lit(0)),
+            "sub_type": F.when(kind.isin("image", "chart"), sub).when(kind == "list", F.coalesce(block["sub_type"], F.lit(""))).when(kind == "code", block["sub_type"]),
+            "table_body": when("table", table_html),
+            "table_caption": when("table", texts("table_caption")),
+            "table_footnote": when("table", texts("table_footnote")),
+            "text": F.when(kind.isin(*plain, "title", "interline_equation"), inline_text(block, o)),
+            "text_format": when("interline_equation", F.lit("latex")),
+            "text_level": F.when((kind == "title") & (level != 0), level),
+            "type": F.when(kind.isin(*plain, "list", "image", "table", "chart", "code"), kind).when(kind == "title", "text").when(kind == "interline_equation", "equation"),
+        }
+        return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+
+    return let(F.struct(children.alias("children"), body_data(block).alias("body")), entry)
 
 
 def _flow(page: Column) -> Column:
