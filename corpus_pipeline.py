@@ -56,17 +56,16 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
-    with Scratch(spark) as s:
-        return s.keep(curve_packing.curve_packing(docs, vocabulary_path("byte_bpe_50k.json"), s))
+    return curve_packing.curve_packing(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near), ("substring_dedup", drop_passages), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table, each written to the shared folder and read again."""
+    """All stages over the table, each but the last written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     with Scratch(spark) as s:
-        for name, stage in STAGES:
+        for name, stage in STAGES[:-1]:
             docs = s.save(stage(spark, docs, sf_dir), name)
-        return s.keep(docs)
+        return s.keep(STAGES[-1][1](spark, docs, sf_dir))

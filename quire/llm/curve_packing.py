@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.vocab import vocabulary_path
-from quire.session import Scratch, ship, table
+from quire.session import Scratch, shared_dir, ship, table
 
 QUERY = "op7_curve_packing"
 ORACLE_SQL = None
@@ -184,13 +184,18 @@ def _pieces(first: dict[int, int], length: int, with_ids: bool):
     return run
 
 
-def curve_packing(df: DataFrame, path: str, scratch: Scratch, length: int = LENGTH, end: int = 0, with_ids: bool = True) -> DataFrame:
-    """Pieces of documents in sequences: where each lies, its length, its checksum and its ids."""
+def curve_packing(df: DataFrame, path: str, scratch: Scratch | None = None, length: int = LENGTH, end: int = 0, with_ids: bool = True) -> DataFrame:
+    """Pieces of documents in sequences: where each lies, its length, its checksum and its ids.
+
+    The tokens are written to ``scratch``; without one they are a checkpoint, which
+    Spark removes when the result is no longer used.
+    """
     spark = df.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, end), "key long, doc_id long, n long, ids binary")
-    tokens = scratch.save(tokens, "tokens")
+    shared_dir(spark)
+    tokens = scratch.save(tokens, "tokens") if scratch else tokens.checkpoint(eager=True)
     share = min(1.0, SAMPLE * parts / max(1, tokens.count()))
     sample = tokens.select("key", "doc_id").sample(share, seed=5).collect()  # about SAMPLE rows a range
     points = sorted((r.key, r.doc_id) for r in sample)
