@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word unigrams and bigrams: one of the target
-(texts labelled good), one of all raw texts.  A text's importance is the log
+(a bounded sample of the texts labelled good), one of all raw texts.  A text's importance is the log
 ratio of its likelihoods; texts are sampled without replacement by adding Gumbel
 noise, made from a hash of the id, and taking the top k keys.  The counts of both
 models are sums of fixed-size vectors over all rows; the k-th key is found by
@@ -54,12 +54,17 @@ def _count(batches):
         yield pa.RecordBatch.from_pydict({"model": np.full(BUCKETS, g, np.int32), "bucket": np.arange(BUCKETS, dtype=np.int32), "n": v})
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Log ratio of target over raw for each bucket, and the share of good texts among labelled ones."""
+def fit(documents: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> tuple[np.ndarray, float]:
+    """Log ratio of target over raw for each bucket, and the share of good texts among labelled ones.
+
+    The raw model counts all texts, the target model at most ``target_rows`` good
+    ones, chosen by a hash of the id; their ids are small enough to broadcast.
+    """
     ship(documents.sparkSession)
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("good"))
     share = known.agg(F.avg("good")).collect()[0][0]
-    joined = documents.select("doc_id", "text").join(known.where("good = 1"), "doc_id", "left").select("text", (F.col("good") == 1).alias("good"))
+    target = known.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
+    joined = documents.select("doc_id", "text").join(F.broadcast(target), "doc_id", "left").select("text", (F.col("good") == 1).alias("good"))
     counts = np.zeros((2, BUCKETS))
     for r in joined.mapInArrow(_count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect():  # 2 x BUCKETS rows
         counts[r.model, r.bucket] = r.n
