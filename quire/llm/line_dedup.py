@@ -1,9 +1,11 @@
 """Line dedup: exact and nearly equal lines, by a segment-partition edit join.
 
-Lines (cut at \\n) of at least ``MIN_CHARS`` code points take part.  A line is cut
-into ``edits + 1`` segments of even length; if two lines are within ``edits``
-edits, some segment of the shorter one occurs unchanged in the longer one near its
-place.  For each length that a partner may have, the longer line probes only the
+Every line (cut at \\n) that isn't blank takes part, whatever its length.  Two lines
+are nearly equal within ``edits`` edits, but no more than one for each
+``CHARS_PER_EDIT`` characters of the shorter one; below that length only equal lines
+are.  A line is cut into one segment more than it may have edits; if two lines are
+nearly equal, some segment of the shorter one occurs unchanged in the longer one near
+its place.  For each length that a partner may have, the longer line probes only the
 positions that the multi-match-aware bounds leave.
 
 1. Equal lines are folded by a 64-bit hash.
@@ -18,8 +20,8 @@ positions that the multi-match-aware bounds leave.
 5. Links are grouped by union-find; of each class the first line, by (doc_id,
    line number), stays and the others are removed.
 
-Defined cases: null text counts as empty and stays null; shorter lines are never
-touched; a repeated line inside one document counts as any other; ties are decided
+Defined cases: null text counts as empty and stays null; empty lines and lines of
+white space alone are never touched; a repeated line inside one document counts as any other; ties are decided
 by line number; doc_id must be unique; other columns aren't read.
 """
 
@@ -39,8 +41,9 @@ from quire.session import Scratch, ship, table
 QUERY = "op10_line_dedup"
 ORACLE_SQL = None
 
-MIN_CHARS = 20
+MIN_CHARS = 1
 EDITS = 2
+CHARS_PER_EDIT = 5
 CHUNK = 1 << 20
 BLOCK, TEXT_BLOCK = 512, 128
 
@@ -51,6 +54,11 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
+def allowed(n, edits: int, per: int = CHARS_PER_EDIT):
+    """The edits that a pair may have whose shorter line has n characters (a number or an array)."""
+    return np.minimum(n // per, edits)
+
+
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
     """(start, length) of the segments of a line of n characters; later ones take the remainder."""
     k = edits + 1
@@ -73,16 +81,22 @@ def probes(n: int, length: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def line_keys(line: str, edits: int) -> dict[int, int]:
+def line_keys(line: str, edits: int, per: int = 1) -> dict[int, int]:
     """Key to role of a line's segments (1) and probes (2); 3 is both."""
     import xxhash
 
     n, keys = len(line), {}
-    for i, (p, size) in enumerate(segments(n, edits)):
+    own = min(n // per, edits)
+    if not own:
+        return keys
+    for i, (p, size) in enumerate(segments(n, own)):
         k = xxhash.xxh3_64_intdigest(line[p : p + size].encode(), seed=n * 64 + i)
         keys[k] = 1
-    for length in range(max(1, n - edits), n + 1):
-        for i, s, size in probes(n, length, edits):
+    for length in range(max(per, n - edits), n + 1):
+        most = min(length // per, edits)
+        if n - length > most:
+            continue
+        for i, s, size in probes(n, length, most):
             k = xxhash.xxh3_64_intdigest(line[s : s + size].encode(), seed=length * 64 + i)
             keys[k] = keys.get(k, 0) | 2
     return keys
@@ -129,7 +143,7 @@ def sketch(line: str) -> bytes:
 def _lines(batch, least: int):
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
         for i, line in enumerate((text.as_py() or "").split("\n")):
-            if len(line) >= least:
+            if len(line) >= least and not line.isspace():
                 yield doc_id, i, line
 
 
@@ -172,7 +186,7 @@ def _shared_keys(least: int, edits: int):
                 h = line_hash(line)
                 if h not in seen:
                     seen.add(h)
-                    own = line_keys(line, edits)
+                    own = line_keys(line, edits, CHARS_PER_EDIT)
                     keys += own
                     owners += [h] * len(own)
                     if len(keys) >= CHUNK:
@@ -288,7 +302,7 @@ def _members(edits: int):
                     (k - (1 << 64) if k >> 63 else k, line, role, len(text), s)
                     for line, text in zip(b.column("line").to_pylist(), b.column("text").to_pylist(), strict=True)
                     for s in [sketch(text)]
-                    for k, role in line_keys(text, edits).items()
+                    for k, role in line_keys(text, edits, CHARS_PER_EDIT).items()
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 5, out, strict=True)], schema=out)
 
@@ -318,10 +332,13 @@ def _hinted(edits: int):
                 forest, found = Forest(len(ids)), []
                 for k in range(n_left):
                     at = np.arange(n_left if apart else k + 1, len(ids))
-                    at = at[(forest.label[at] != forest.label[k]) & ((role[at] | role[k]) == 3) & (np.abs(chars[at] - chars[k]) <= edits)]
+                    at = at[(forest.label[at] != forest.label[k]) & ((role[at] | role[k]) == 3)]
+                    most = allowed(np.minimum(chars[at], chars[k]), edits)
+                    near = np.abs(chars[at] - chars[k]) <= most
+                    at, most = at[near], most[near]
                     if len(at):
                         d = letters[at] - letters[k]  # modulo 256
-                        at = at[np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * edits]
+                        at = at[np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * most]
                     if len(at):
                         found += [(ids[k], ids[x]) for x in forest.join(k, at)]
                 if found:
@@ -345,9 +362,10 @@ def _verified(edits: int):
                 forest, rows, degree = Forest(len(side)), [], np.zeros(len(side), np.int64)
                 for k in range(n_left):
                     at = np.arange(n_left if apart else k + 1, len(side))
-                    d = letters[at] - letters[k]
-                    at = at[(np.abs(chars[at] - chars[k]) <= edits) & (np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * edits)]
-                    at = at[[edit_distance(side[k]["text"], side[x]["text"], edits) <= edits for x in at]] if len(at) else at
+                    d, most = letters[at] - letters[k], allowed(np.minimum(chars[at], chars[k]), edits)
+                    near = (np.abs(chars[at] - chars[k]) <= most) & (np.minimum(d, 0 - d).astype(np.int32).sum(1) <= 2 * most)
+                    at, most = at[near], most[near].tolist()
+                    at = at[[edit_distance(side[k]["text"], side[x]["text"], m) <= m for x, m in zip(at, most, strict=True)]] if len(at) else at
                     if len(at):
                         degree[k] += len(at)
                         degree[at] += 1
@@ -360,7 +378,7 @@ def _verified(edits: int):
 
 
 def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """Links between hashes of different lines within ``edits`` edits: a forest (a, b, 0) and counts (a, a, n)."""
+    """Links between hashes of different lines that are nearly equal: a forest (a, b, 0) and counts (a, a, n)."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

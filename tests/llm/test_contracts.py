@@ -356,3 +356,40 @@ def test_line_dedup_brute_force(spark, folder, rows):
         kept = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone)
         assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
     assert any(x[3] and x[4] for own in want.values() for x in own)
+
+
+def test_line_dedup_short_lines(spark, tmp_path):
+    rows = ["And ornd.\nno\n\n \nfirst one here", "And ornd.\nno\n\n \nno", "And orxd.\non\nfirst one hers.", "短い行です。\nAnd\nAnt", "短い行てす。\nAnx orxd."]
+    got = {r.doc_id: r for r in line_dedup.query(spark, write(spark, tmp_path, rows)).collect()}
+
+    def most(a, b):
+        return min(2, min(len(a), len(b)) // 5)
+
+    at = [(i, k, x) for i, t in enumerate(rows) for k, x in enumerate(t.split("\n")) if x.strip()]
+    root = list(range(len(at)))
+    for _ in at:  # labels spread until none changes
+        for a, b in combinations(range(len(at)), 2):
+            if levenshtein(at[a][2], at[b][2]) <= most(at[a][2], at[b][2]):
+                root[a] = root[b] = min(root[a], root[b])
+    gone = {at[k][:2] for k in range(len(at)) if root[k] != k}
+    assert gone == {(1, 0), (1, 1), (1, 4), (2, 0), (2, 2), (4, 0), (4, 1)}
+    for i, t in enumerate(rows):
+        assert {x.line_no for x in got[i].lines or [] if x.removed} == {n for d, n in gone if d == i}
+        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def test_short_segments_meet_probes():
+    import random
+
+    r = random.Random(7)
+    for _ in range(4000):
+        a = "".join(r.choice("ab") for _ in range(r.randint(3, 16)))
+        b = list(a)
+        for _ in range(r.randint(1, 2)):
+            at = r.randrange(len(b))
+            r.choice([lambda: b.pop(at), lambda: b.insert(at, "x"), lambda: b.__setitem__(at, "y")])()
+        b = "".join(b)
+        if a != b and levenshtein(a, b) <= line_dedup.allowed(min(len(a), len(b)), 2):
+            ka, kb = (line_dedup.line_keys(x, 2, line_dedup.CHARS_PER_EDIT) for x in (a, b))
+            assert any(ka[k] | kb[k] == 3 for k in ka.keys() & kb.keys()), (a, b)
