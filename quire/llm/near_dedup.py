@@ -9,16 +9,18 @@ a value below k no later step can change anything, so the work stops early.
 1. Equal sets are folded first: one representative (smallest id) for each.
 2. Representatives meet in a bucket when all rows of one band agree.  Members of
    a bucket are compared by their signatures in blocks of bounded size.  Pairs
-   whose estimate is within ``MARGIN`` of the threshold are candidates; a block
-   reports a forest of them, never all pairs, and forests give clusters that hold
-   every candidate pair.
+   with as many equal slots as all but ``LOSS / 10`` of the links have are
+   candidates; a block reports a forest of them, never all pairs, and forests give
+   clusters that hold every candidate pair.
 3. Within each cluster, again in blocks, all pairs are verified on the full
    shingle sets, and a block reports a forest of the links.
 4. Links go through union-find: each task contracts its links to a spanning
    forest, then large-star and small-star rounds join the forests.
 
-With 24 bands of 5 rows a link at similarity 0.85 is missed with a probability
-below 1e-6; no bucket is capped: a large one is spread over block pairs.
+Bands and the least number of equal slots follow from the threshold, so that a link
+at it is missed with a probability below 1.1 * ``LOSS``: at 0.85 by 24 bands of 5 rows
+(7.7e-7), at 0.8 by 30 bands of 4 (1.4e-7).  A threshold so low that even bands of one
+row lose more gets those.  No bucket is capped: a large one is spread over block pairs.
 
 Defined cases: null and wordless texts have empty sets and link with nothing;
 texts of one to four words have their whole sequence as one shingle; repeated ids
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,26 @@ from quire.session import Scratch, ship, table
 QUERY = "op6_near_dedup"
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
+SLOTS = 120
+LOSS = 1e-6
 BLOCK, SET_BLOCK = 512, 128
-MARGIN = 0.12
+
+
+def banding(least: Fraction) -> tuple[int, int]:
+    """(bands, rows): the longest bands that lose a link at the similarity with a probability of at most ``LOSS``."""
+    fits = [r for r in range(1, SLOTS + 1) if SLOTS % r == 0 and (1 - float(least) ** r) ** (SLOTS // r) <= LOSS]
+    rows = max(fits, default=1)
+    return SLOTS // rows, rows
+
+
+def fewest_equal(least: Fraction) -> int:
+    """The number of equal slots that a link at the similarity falls short of with a probability of at most ``LOSS / 10``."""
+    p, below = float(least), 0.0
+    for k in range(SLOTS):
+        below += comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k)
+        if below > LOSS / 10:
+            return k
+    return SLOTS
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -127,23 +146,27 @@ def _signatures(size: int):
     return run
 
 
-def _bands(batches):
-    """(band key, doc_id, n_shingles) for each band of each signature."""
+def _bands(bands: int, rows: int):
+    """(band key, doc_id) for each band of each signature."""
     out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.zeros(sig.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix(key ^ sig[:, :, r]) + np.uint64(r)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).reshape(-1)), pa.array(np.repeat(b.column("doc_id").to_numpy(), BANDS))], schema=out)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
+            key = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
+            for r in range(rows):
+                key = mix(key ^ sig[:, :, r]) + np.uint64(r)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).reshape(-1)), pa.array(np.repeat(b.column("doc_id").to_numpy(), bands))], schema=out)
+
+    return run
 
 
 def _candidates(least: Fraction):
     """Block pairs to a forest of the pairs whose sizes and signatures allow the similarity."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    ratio, low = float(least), float(least) - MARGIN
+    ratio, low = float(least), fewest_equal(least)
 
     def matrix(side):
         ids = np.array([x["doc_id"] for x in side], np.int64)
@@ -164,7 +187,7 @@ def _candidates(least: Fraction):
                     at = np.arange(n_left if apart else k + 1, len(ids))
                     at = at[(forest.label[at] != forest.label[k]) & (np.minimum(n[k], n[at]) >= ratio * np.maximum(n[k], n[at]) - 1e-9)]
                     if len(at):
-                        at = at[(sig[at] == sig[k]).sum(1) >= low * SLOTS]
+                        at = at[(sig[at] == sig[k]).sum(1) >= low]
                     if len(at):
                         found += [(ids[k], ids[x]) for x in forest.join(k, at)]
                 if found:
@@ -293,7 +316,7 @@ def near_links(docs: DataFrame, scratch: Scratch, least: Fraction, size: int = S
     signed = scratch.save(
         docs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_signatures(size), "doc_id long, n_shingles int, signature binary"), "signed"
     )
-    keys = scratch.save(signed.select("doc_id", "signature").mapInArrow(_bands, "key long, doc_id long"), "keys")
+    keys = scratch.save(signed.select("doc_id", "signature").mapInArrow(_bands(*banding(least)), "key long, doc_id long"), "keys")
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     member = scratch.save(keys.join(shared, "key").join(signed, "doc_id"), "member")
     hints = scratch.save(block_pairs(member, ["n_shingles", "signature"], _candidates(least), "a long, b long", BLOCK), "hints")

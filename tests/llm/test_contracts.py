@@ -393,3 +393,27 @@ def test_short_segments_meet_probes():
         if a != b and levenshtein(a, b) <= line_dedup.allowed(min(len(a), len(b)), 2):
             ka, kb = (line_dedup.line_keys(x, 2, line_dedup.CHARS_PER_EDIT) for x in (a, b))
             assert any(ka[k] | kb[k] == 3 for k in ka.keys() & kb.keys()), (a, b)
+
+
+def test_near_dedup_loss_by_threshold():
+    from fractions import Fraction
+    from math import comb
+
+    for least in (Fraction(85, 100), Fraction(4, 5)):
+        s, (bands, per) = float(least), near_dedup.banding(least)
+        assert bands * per == near_dedup.SLOTS and (1 - s**per) ** bands < 1e-6
+        assert sum(comb(120, k) * s**k * (1 - s) ** (120 - k) for k in range(near_dedup.fewest_equal(least))) <= 1e-7
+
+
+def test_near_dedup_low_estimate_is_a_candidate():
+    from fractions import Fraction
+
+    import numpy as np
+    import pyarrow as pa
+
+    one = np.arange(120, dtype=np.uint32)
+    other = one.copy()
+    other[85:] += 1000  # 85 of 120 equal: under 0.85 - 0.12, as 3.0e-4 of the links at 0.85 are
+    left = [{"doc_id": i, "n_shingles": 100, "signature": x.tobytes()} for i, x in enumerate((one, other))]
+    batch = pa.RecordBatch.from_pydict({"left": pa.array([left]), "right": pa.array([None], pa.list_(pa.int64()))})
+    assert [b.to_pylist() for b in near_dedup._candidates(Fraction(85, 100))([batch])] == [[{"a": 0, "b": 1}]]
