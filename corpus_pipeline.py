@@ -3,6 +3,9 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written
 as Parquet and read again as the next one's input.  All but the last return the
 columns of ``documents``.
+
+A row is a document even if its doc_id is null or another row has it too: stages
+that work by id then number the rows in the order of ids, nulls last.
 """
 
 from __future__ import annotations
@@ -20,6 +23,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with the id in ``given_id`` and a doc_id that only one row has: the id, or the row's number."""
+    docs = docs.select(F.col("doc_id").alias("given_id"), *COLUMNS)
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return docs
+    order = [F.col(c).asc_nulls_last() for c in COLUMNS]
+    return scratch.keep(docs.orderBy(*order).withColumn("doc_id", F.monotonically_increasing_id()))
+
+
+def _given(df: DataFrame) -> DataFrame:
+    return _columns(df.withColumn("doc_id", F.col("given_id")))
+
+
 def _columns(df: DataFrame) -> DataFrame:
     """The columns of documents, with ``n_chars`` of the text as it now is."""
     return df.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
@@ -35,23 +51,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and nearly equal lines the first stays."""
     with Scratch(spark) as s:
+        docs = _keyed(docs, s)
         classes = s.keep(line_dedup.line_classes(docs, s))
-    kept = line_dedup.apply_classes(docs, classes).select("doc_id", "text")
-    return _columns(docs.drop("text").join(kept, "doc_id"))
+    return _given(line_dedup.apply_classes(docs, classes, ("given_id", "lang", "source")))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, all without words too."""
     with Scratch(spark) as s:
+        docs = _keyed(docs, s)
         kept = s.keep(near_dedup.near_dedup(docs, s, Fraction(4, 5)).where("kept").select("doc_id"))
-    return _columns(docs.join(kept, "doc_id", "left_semi"))
+    return _given(docs.join(kept, "doc_id", "left_semi"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 35 words that occur more than once go."""
     with Scratch(spark) as s:
+        docs = _keyed(docs, s)
         starts = s.keep(substring_dedup.repeated_windows(docs, s))
-    return _columns(substring_dedup.without(docs, starts))
+    return _given(substring_dedup.without(docs, starts))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

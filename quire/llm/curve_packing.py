@@ -35,6 +35,8 @@ ORACLE_SQL = None
 LENGTH = 1024
 DIMS, BITS = 3, 16
 SAMPLE = 100
+#: Null ids are sorted as this one.
+NO_ID = -(1 << 63)
 _CACHED = 300_000
 
 
@@ -197,7 +199,7 @@ def curve_packing(df: DataFrame, path: str, scratch: Scratch | None = None, leng
     shared_dir(spark)
     tokens = scratch.save(tokens, "tokens") if scratch else tokens.checkpoint(eager=True)
     share = min(1.0, SAMPLE * parts / max(1, tokens.count()))
-    sample = tokens.select("key", "doc_id").sample(share, seed=5).collect()  # about SAMPLE rows a range
+    sample = tokens.select("key", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).sample(share, seed=5).collect()  # about SAMPLE rows a range
     points = sorted((r.key, r.doc_id) for r in sample)
     bounds = [points[len(points) * i // parts] for i in range(1, parts)] if points else []
     tokens = tokens.withColumn("range", _range_of(bounds))
@@ -220,7 +222,7 @@ def _range_of(bounds: list[tuple[int, int]]):
             return F.lit(lo)
         mid = (lo + hi) // 2
         key, doc = bounds[mid]
-        above = (F.col("key") > key) | ((F.col("key") == key) & (F.col("doc_id") >= doc))
+        above = (F.col("key") > key) | ((F.col("key") == key) & (F.coalesce("doc_id", F.lit(NO_ID)) >= doc))
         return F.when(above, search(mid + 1, hi)).otherwise(search(lo, mid))
 
     return search(0, len(bounds))

@@ -428,16 +428,16 @@ def line_dedup(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int
     return apply_classes(docs, classes)
 
 
-def apply_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each document without its removed lines: columns doc_id, text, n_lines, n_removed, lines."""
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes, "doc_id", "left")
+def apply_classes(docs: DataFrame, classes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each document without its removed lines: columns doc_id, text, n_lines, n_removed, lines and those to carry."""
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).join(classes, "doc_id", "left")
     joined = joined.withColumn("__split", F.split("text", "\n")).withColumn(
         "__gone", F.transform(F.filter("lines", lambda x: x["removed"]), lambda x: x["line_no"])
     )
     left = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__gone")
     kept = F.when(F.size("__gone") > 0, F.array_join(F.transform(left, lambda i: F.get("__split", i)), "\n")).otherwise(F.col("text"))
     return joined.select(
-        "doc_id", kept.alias("text"), F.coalesce(F.size("__split"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), "lines"
+        "doc_id", kept.alias("text"), F.coalesce(F.size("__split"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), "lines", *carry
     )
 
 
