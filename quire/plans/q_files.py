@@ -29,8 +29,10 @@ def image_hash(spark, sf_dir):
 
 @query("externalised_pictures")
 def externalised_pictures(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("data:image/jpeg;base64,"), F.base64(F.encode(F.substring("text", 1, 60), "UTF-8"))).alias("image_path"))
-    return artifacts.externalise(rows, "doc_id", "image_path")[0]
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("data:image/jpeg;base64,"), F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")).alias("image_path"))
+    named, pictures = artifacts.externalise(rows, "doc_id", "image_path")
+    at = F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("r.image_path") == F.col("p.name"))
+    return named.alias("r").join(pictures.alias("p"), at, "left").select("r.doc_id", "r.image_path", "p.data")
 
 
 @query("document_artefacts")

@@ -1,5 +1,7 @@
 """Every query against its SQL over the smallest tables; those without SQL give rows."""
 
+import base64
+
 import pytest
 from quire.plans import registry
 
@@ -32,3 +34,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_externalised_pictures_hold_whole_texts(spark, tmp_path):
+    texts = ["same start " * 9 + end for end in ("one", "other")] + ["é" * 5000, "", None]
+    docs = [(None if k == 1 else k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.queries()["externalised_pictures"](spark, str(tmp_path)).collect()}
+    for k, t in docs[:3]:
+        assert base64.b64decode(got[k].data).decode() == t
+    assert len({got[k].image_path for k, _ in docs[:3]}) == 3 and len(got) == 5
