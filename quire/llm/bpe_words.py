@@ -1,44 +1,52 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Texts are cut at ASCII white space.  The tokenizer drops white space before it
-merges, so a word's ids don't depend on its neighbours and each distinct word is
+Spark splits the texts at ASCII white space.  The tokenizer drops white space before
+it merges, so a word's ids don't depend on its neighbours and each distinct word is
 encoded once by the library itself:
 
-1. texts are gathered into blocks of bounded size; a block keeps its distinct
-   words and, for each position, the number of the word there;
-2. the blocks' words are shuffled by a hash of the word, and each distinct word
-   of a partition is encoded once;
-3. ids go back to their block and are joined to the positions by word number;
-   the decoded text is looked up from the ids in the id-to-piece table.
+1. the split texts are gathered into blocks of bounded size; a block keeps its
+   distinct words and, for each position, the number of the word there;
+2. the blocks' words meet by a hash of the word, and each distinct word of a
+   partition is encoded once;
+3. the ids of the distinct words, one a row, are joined with the id-to-piece table
+   (a broadcast, as large as the vocabulary), which decodes the words;
+4. ids and decoded words go back to their blocks and are joined to the positions by
+   word number.
 
 A frequent word occurs once per block at most in the shuffle, so no key is hot.
-Blocks are bounded by ``block_bytes`` (one longer text is a block of its own).
+Both readers of the blocks use one exchange, so positions travel once.  Blocks are
+bounded by ``block_bytes`` (one longer text is a block of its own).
 
 Defined cases: null text counts as empty; empty texts have no ids and decode to
-""; repeated rows are encoded each for itself; special tokens in a text get their
-own ids, as in the library; only the two named columns are used, so clashing
-extra columns don't matter.
+""; repeated rows are encoded each for itself, whatever their ids; special tokens in
+a text get their own ids, as in the library; only the two named columns are used, so
+clashing extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.packed import pack, pack_numbers, unpack, unpack_numbers
 from quire.llm.vocab import vocabulary_path
+from quire.llm.words import word_hashes
 from quire.session import Scratch, ship, table
 
 QUERY = "op8_bpe_words"
 ORACLE_SQL = None
 
 BLOCK_BYTES = 32 << 20
+SLICE_WORDS = 1 << 19
+MOST_PIECES = 1 << 20
 
 
 def load(path: str):
@@ -58,131 +66,197 @@ def pieces(path: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(max(t.get_vocab(with_added_tokens=True).values()) + 1)]
 
 
-def pack(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of a vocabulary that this operator can serve."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    table_ = pieces(path)
+    if spec.get("decoder") is not None or any("\n" in p for p in table_) or len(table_) > MOST_PIECES:
+        raise ValueError("the tokenizer must have no decoder, no line end in a piece and a vocabulary small enough to broadcast")
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(table_)), pa.int32()), "piece": pa.array(table_, pa.string())}))
 
 
-def unpack(data: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.binary()), ("at", pa.binary()), ("route", pa.binary()), ("words", pa.list_(pa.binary()))])
+_BLOCK_DDL = "block long, ids array<long>, spans binary, at binary, route binary, words array<binary>"
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers with equal places together."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _joined(words: pa.Array, cuts: np.ndarray, separator: bytes) -> pa.Array:
+    """Runs of a string array, between ``cuts``, each joined to one."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), words), pa.scalar(separator, words.type))
 
 
-def values(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _row(doc_ids: list, spans: list[np.ndarray], words: list[pa.Array], block: int, buckets: int) -> pa.RecordBatch:
+    coded = pa.concat_arrays(words).cast(pa.large_binary()).dictionary_encode()
+    where, distinct = coded.indices.to_numpy(), coded.dictionary
+    count = np.bincount(where, minlength=len(distinct))
+    # numbered by frequency, then by spelling, so that numbers and word lists compress well
+    order = pc.sort_indices(pa.table({"n": count, "w": distinct}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
+    number = np.empty(len(distinct), np.uint32)
+    number[order] = np.arange(len(distinct), dtype=np.uint32)
+    distinct = distinct.take(pa.array(order))
+    bucket = (word_hashes(distinct.to_pylist()) >> np.uint64(32)) % np.uint64(buckets)
+    by_bucket = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+    lists = _joined(distinct.take(pa.array(by_bucket)), cuts, b" ").to_pylist()
+    return pa.RecordBatch.from_pydict(
+        {
+            "block": [block], "ids": [doc_ids], "spans": [pack_numbers(np.concatenate(spans))], "at": [pack_numbers(number[where])], "route": [pack_numbers(bucket)],
+            "words": [[pack(x) if x else b"" for x in lists]],
+        },
+        schema=_BLOCK,
+    )
 
 
 def _blocks(buckets: int, block_bytes: int):
-    def cut(batches):
-        part, seq = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
-        spans: list[int] = []
-        at: list[int] = []
-        seen: dict[bytes, int] = {}
-        size = 0
-
-        def flush():
-            nonlocal seq, ids, spans, at, seen, size
-            where = np.array(at, np.int64)
-            count = np.bincount(where, minlength=len(seen))
-            # numbered by frequency, then by spelling, so that numbers and word lists compress well
-            words = sorted(seen, key=lambda w: (-count[seen[w]], w))
-            number = np.empty(len(words), np.uint32)
-            number[[seen[w] for w in words]] = np.arange(len(words), dtype=np.uint32)
-            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.uint32)
-            lists: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w, b in zip(words, bucket.tolist(), strict=True):
-                lists[b].append(w)
-            row = pa.RecordBatch.from_pydict(
-                {
-                    "block": [(part << 32) | seq], "ids": [ids], "spans": [spans], "at": [pack(planes(number[where]))], "route": [pack(planes(bucket))],
-                    "words": [[pack(b" ".join(x)) if x else b"" for x in lists]],
-                },
-                schema=_BLOCK,
-            )
-            seq += 1
-            ids, spans, at, seen, size = [], [], [], {}, 0
-            return row
+    """Split texts to blocks; a block is known by its partition and its place there."""
 
+    def cut(batches):
+        part, seq = TaskContext.get().partitionId() << 32, 0
+        ids, spans, words, size = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                if ids and size + len(raw) > block_bytes:
-                    yield flush()
-                words = raw.split()
-                at += [seen.setdefault(w, len(seen)) for w in words]
-                ids.append(doc_id.as_py())
-                spans.append(len(words))
-                size += len(raw) + 8
+            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
+            flat, n = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            wide = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy().astype(np.int64) + 1)])[ends]
+            first = 0
+            for i in range(len(doc_ids)):
+                own = int(wide[i + 1] - wide[i]) + 8
+                if size and size + own > block_bytes:
+                    if i > first:
+                        ids += doc_ids[first:i]
+                        spans.append(n[first:i])
+                        words.append(flat.slice(ends[first], ends[i] - ends[first]))
+                    yield _row(ids, spans, words, part | seq, buckets)
+                    seq, first = seq + 1, i
+                    ids, spans, words, size = [], [], [], 0
+                size += own
+            if first < len(doc_ids):
+                ids += doc_ids[first:]
+                spans.append(n[first:])
+                words.append(flat.slice(ends[first]))
         if ids:
-            yield flush()
+            yield _row(ids, spans, words, part | seq, buckets)
 
     return cut
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.int32())), ("at", pa.binary()), ("route", pa.binary()), ("words", pa.list_(pa.binary()))])
-_ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_LIST = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+
+
+def _lists(batches):
+    """Blocks to one row for each bucket that some of their words fall to."""
+    for batch in batches:
+        for block, lists in zip(batch.column("block"), batch.column("words"), strict=True):
+            rows = [(b, x) for b, x in enumerate(lists.as_py()) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=_LIST)
+
+
+_TOKENS = pa.schema([("id", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("sizes", pa.binary())])
+_TOKENS_DDL = "id int, block long, bucket int, numbers binary, sizes binary"
 
 
 def _encode(path: str):
+    """Word lists to rows of two kinds: the ids of words not met before in the task, one a row, and
+    after them the list itself, as numbers of the task's words, with the number of ids of each new word."""
+
     def run(batches):
         tokenizer, known = load(path), {}
         for batch in batches:
             for block, bucket, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
                 words = unpack(packed.as_py()).split(b" ")
-                new = list(dict.fromkeys(w for w in words if w not in known))
-                for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-                own = [known[w] for w in words]
-                sizes = np.fromiter(map(len, own), np.uint32, len(own)) // 4
+                new = [w for w in words if w not in known]
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                coded = [e.ids for e in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+                sizes = np.fromiter(map(len, coded), np.uint32, len(coded))
+                flat = [i for ids in coded for i in ids]
+                none = [None] * len(flat)
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [block.as_py()], "bucket": [bucket.as_py()], "sizes": [pack(planes(sizes))], "ids": [pack(planes(np.frombuffer(b"".join(own), "<u4")))]}, schema=_ENCODED
-                )
+                    {
+                        "id": [*flat, None], "block": [*none, block.as_py()], "bucket": [*none, bucket.as_py()],
+                        "numbers": [*none, pack_numbers(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))], "sizes": [*none, pack_numbers(sizes)],
+                    },
+                    schema=_TOKENS,
+                )
 
     return run
 
 
-def _join(table: list[str], want: str, out: pa.Schema):
-    piece = [p.encode() for p in table]
-    digits = [b"%d" % i for i in range(len(table))]
+_ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary()), ("decoded", pa.binary())])
+
+
+def _repack(batches):
+    """Rows of ``_encode`` with their pieces, in the same order, to the ids and decoded words of each list."""
+    ids: list[bytes] = []
+    decoded: list[bytes] = []
+    new_ids: list[pa.Array] = []
+    new_pieces: list[pa.Array] = []
+    for batch in batches:
+        start = 0
+        for at in np.flatnonzero(batch.column("block").is_valid().to_numpy(zero_copy_only=False)).tolist():
+            new_ids.append(batch.column("id").slice(start, at - start))
+            new_pieces.append(batch.column("piece").slice(start, at - start))
+            start = at + 1
+            flat = pa.concat_arrays(new_ids).to_numpy(zero_copy_only=False).astype("<u4")
+            cuts = np.concatenate([[0], np.cumsum(unpack_numbers(batch.column("sizes")[at].as_py()), dtype=np.int64)])
+            decoded += _joined(pa.concat_arrays(new_pieces).cast(pa.large_binary()), cuts, b" ").to_pylist()
+            raw = flat.tobytes()
+            ids += [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            new_ids, new_pieces = [], []
+            own = unpack_numbers(batch.column("numbers")[at].as_py()).tolist()
+            coded = [ids[i] for i in own]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": [batch.column("block")[at].as_py()], "bucket": [batch.column("bucket")[at].as_py()], "sizes": [pack_numbers(np.fromiter(map(len, coded), np.uint32, len(coded)) // 4)],
+                    "ids": [pack_numbers(np.frombuffer(b"".join(coded), "<u4"))], "decoded": [pack(b"\n".join([decoded[i] for i in own]))],
+                },
+                schema=_ENCODED,
+            )
+        if start < batch.num_rows:
+            new_ids.append(batch.column("id").slice(start))
+            new_pieces.append(batch.column("piece").slice(start))
+
+
+def _word_table(encoded: list[dict], route: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Number of ids, ids and decoded text of a block's words, by word number."""
+    encoded = sorted(encoded, key=lambda x: x["bucket"])
+    sizes = np.concatenate([unpack_numbers(x["sizes"]) for x in encoded]).astype(np.int64)
+    flat = np.concatenate([unpack_numbers(x["ids"]) for x in encoded]).astype(np.int32)
+    decoded = pa.array([w for x in encoded for w in unpack(x["decoded"]).split(b"\n")], pa.large_binary())
+    ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(flat))
+    place = np.empty(len(route), np.int64)  # lists hold a bucket's words by number
+    place[np.argsort(route, kind="stable")] = np.arange(len(route))
+    return sizes[place], ids.take(pa.array(place)), decoded.take(pa.array(place))
+
 
-    def words_of(sizes: bytes, ids: bytes):
-        """The ids of a bucket's words, one list a word."""
-        flat, at = values(unpack(ids)).tolist(), 0
-        for n in values(unpack(sizes)).tolist():
-            yield flat[at : at + n]
-            at += n
+def _join(want: str, out: pa.Schema):
+    """Word ids to the positions of each block, a slice of documents at a time."""
 
     def run(batches):
         for batch in batches:
-            for ids, spans, at, route, encoded in zip(*(batch.column(c) for c in ("ids", "spans", "at", "route", "encoded")), strict=True):
-                lists = {x["bucket"]: words_of(x["sizes"], x["ids"]) for x in encoded.as_py() or ()}
-                coded_words, text, count = [], [], []
-                for b in values(unpack(route.as_py())).tolist():
-                    own_ids = next(lists[b])
-                    coded_words.append(b" ".join([digits[i] for i in own_ids]))
-                    text.append(b" ".join([piece[i] for i in own_ids]))  # the id-to-piece join, once for each distinct word of the block
-                    count.append(len(own_ids))
-                own, count = coded_words, np.array(count, np.int64)
-                where = values(unpack(at.as_py()))
-                ends = np.cumsum(spans.as_py())
-                rows = []
-                for end, n in zip(ends.tolist(), spans.as_py(), strict=True):
-                    here = where[end - n : end].tolist()
-                    coded = b" ".join([own[i] for i in here if own[i]])
-                    decoded = b" ".join([text[i] for i in here if own[i]])
-                    n_tokens = int(count[here].sum()) if here else 0
+            for doc_ids, spans, at, route, encoded in zip(*(batch.column(c) for c in ("ids", "spans", "at", "route", "encoded")), strict=True):
+                doc_ids, spans, at = doc_ids.as_py(), unpack_numbers(spans.as_py()).astype(np.int64), unpack_numbers(at.as_py())
+                if len(at):
+                    sizes, ids, decoded = _word_table(encoded.as_py(), unpack_numbers(route.as_py()))
+                    coded = pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, ids.values.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))
+                else:
+                    sizes, ids, decoded, coded = np.empty(0, np.int64), pa.array([], pa.large_list(pa.int32())), pa.array([], pa.large_binary()), pa.array([], pa.large_string())
+                ends, first = np.concatenate([[0], np.cumsum(spans)]), 0
+                while first < len(doc_ids):
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_WORDS, "right")) - 1)
+                    here = at[ends[first] : ends[last]]
+                    some = sizes[here] > 0  # a word may have no ids
+                    cuts = np.concatenate([[0], np.cumsum(some)])[ends[first : last + 1] - ends[first]]
+                    tokens = np.concatenate([[0], np.cumsum(sizes[here])])[ends[first : last + 1] - ends[first]]
+                    take = pa.array(here[some])
+                    plain = _joined(decoded.take(take), cuts, b" ")
                     if want == "digest":
-                        rows.append((n_tokens, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                        texts = _joined(coded.take(take), cuts, " ")
+                        columns = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c]) for c in (texts, plain)]
                     else:
-                        rows.append((n_tokens, [int(i) for i in coded.split()], decoded.decode()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.values if hasattr(ids, "values") else pa.array(ids.as_py(), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(out)[1:], strict=True))],
-                    schema=out,
-                )
+                        own = ids.take(take).flatten()
+                        columns = [pa.LargeListArray.from_arrays(pa.array(tokens, pa.int64()), own).cast(pa.list_(pa.int32())), plain.cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), pa.array(np.diff(tokens), pa.int64()), *columns], schema=out)
+                    first = last
 
     return run
 
@@ -191,32 +265,25 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 _FULL = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want: str = "full", block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
+def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want: str = "full", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row, or the digests of both for ``want="digest"``.
 
     The tokenizer must drop white space and have no decoder (words end in a marker).
-    The block table stays in ``scratch`` until its owner closes it.
     """
     spark = df.sparkSession
     ship(spark)
-    own = scratch or Scratch(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        _blocks(buckets, block_bytes), "block long, ids array<long>, spans array<int>, at binary, route binary, words array<binary>"
-    )
-    blocks = own.save(cut, "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("bucket", "packed")).where(F.length("packed") > 0).select("block", "bucket", "packed")
-    encoded = (
-        words.repartition(buckets, "bucket")
-        .mapInArrow(_encode(path), "block long, bucket int, sizes binary, ids binary")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("encoded"))
-    )
+    split = F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    blocks = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), split.alias("words")).mapInArrow(_blocks(buckets, block_bytes), _BLOCK_DDL).repartition(buckets, "block")
+    words = blocks.mapInArrow(_lists, "block long, bucket int, packed binary").repartition(buckets, "bucket")
+    tokens = words.mapInArrow(_encode(path), _TOKENS_DDL).alias("t")
+    decoded = tokens.join(F.broadcast(piece_table(spark, path)).alias("p"), F.col("t.id") == F.col("p.id"), "left").select("t.*", "p.piece")
+    encoded = decoded.mapInArrow(_repack, "block long, bucket int, sizes binary, ids binary, decoded binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "ids", "decoded")).alias("encoded"))
     out, ddl = (_DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string") if want == "digest" else (_FULL, "doc_id long, n_tokens long, ids array<int>, decoded string")
-    return blocks.select("block", "ids", "spans", "at", "route").join(encoded, "block", "left").mapInArrow(_join(pieces(path), want, out), ddl)
+    return blocks.join(encoded, "block", "left").mapInArrow(_join(want, out), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with Scratch(spark) as s:
-        return s.keep(bpe(docs, vocabulary_path("word_bpe_49k.json"), want="digest", scratch=s))
+        return s.keep(bpe(docs, vocabulary_path("word_bpe_49k.json"), want="digest"))

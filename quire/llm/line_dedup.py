@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import Forest, block_pairs
-from quire.llm.bpe_words import pack, unpack
+from quire.llm.packed import pack, unpack
 from quire.llm.near_dedup import components, grouped
 from quire.llm.words import mix
 from quire.session import Scratch, ship, table
