@@ -85,34 +85,51 @@ def _joined(words: pa.Array, cuts: np.ndarray, separator: bytes) -> pa.Array:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), words), pa.scalar(separator, words.type))
 
 
-def _row(doc_ids: list, spans: list[np.ndarray], words: list[pa.Array], block: int, buckets: int) -> pa.RecordBatch:
-    coded = pa.concat_arrays(words).cast(pa.large_binary()).dictionary_encode()
-    where, distinct = coded.indices.to_numpy(), coded.dictionary
-    count = np.bincount(where, minlength=len(distinct))
-    # numbered by frequency, then by spelling, so that numbers and word lists compress well
-    order = pc.sort_indices(pa.table({"n": count, "w": distinct}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
-    number = np.empty(len(distinct), np.uint32)
-    number[order] = np.arange(len(distinct), dtype=np.uint32)
-    distinct = distinct.take(pa.array(order))
-    bucket = (word_hashes(distinct.to_pylist()) >> np.uint64(32)) % np.uint64(buckets)
-    by_bucket = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    lists = _joined(distinct.take(pa.array(by_bucket)), cuts, b" ").to_pylist()
-    return pa.RecordBatch.from_pydict(
-        {
-            "block": [block], "ids": [doc_ids], "spans": [pack_numbers(np.concatenate(spans))], "at": [pack_numbers(number[where])], "route": [pack_numbers(bucket)],
-            "words": [[pack(x) if x else b"" for x in lists]],
-        },
-        schema=_BLOCK,
-    )
+class _Block:
+    """The documents of a block under way: distinct words and the place of each word among them."""
+
+    def __init__(self):
+        self.ids: list = []
+        self.spans: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+        self.seen: dict[bytes, int] = {}
+        self.size = 0
+
+    def add(self, doc_ids: list, spans: np.ndarray, words: pa.Array) -> None:
+        coded = words.dictionary_encode()
+        distinct, seen = coded.dictionary.cast(pa.binary()).to_pylist(), self.seen
+        place = np.fromiter((seen.setdefault(w, len(seen)) for w in distinct), np.uint32, len(distinct))
+        self.ids += doc_ids
+        self.spans.append(spans)
+        self.at.append(place[coded.indices.to_numpy()])
+
+    def row(self, block: int, buckets: int) -> pa.RecordBatch:
+        where = np.concatenate(self.at)
+        self.at.clear()
+        distinct = pa.array(self.seen, pa.large_binary())
+        count = np.bincount(where, minlength=len(distinct))
+        # numbered by frequency, then by spelling, so that numbers and word lists compress well
+        order = pc.sort_indices(pa.table({"n": count, "w": distinct}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
+        number = np.empty(len(distinct), np.uint32)
+        number[order] = np.arange(len(distinct), dtype=np.uint32)
+        bucket = ((word_hashes(list(self.seen)) >> np.uint64(32)) % np.uint64(buckets))[order]
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        lists = _joined(distinct.take(pa.array(order[by_bucket])), cuts, b" ")
+        return pa.RecordBatch.from_pydict(
+            {
+                "block": [block], "ids": [self.ids], "spans": [pack_numbers(np.concatenate(self.spans))], "at": [pack_numbers(number[where])], "route": [pack_numbers(bucket)],
+                "words": [[pack(x.as_py()) if x.as_py() else b"" for x in lists]],
+            },
+            schema=_BLOCK,
+        )
 
 
 def _blocks(buckets: int, block_bytes: int):
     """Split texts to blocks; a block is known by its partition and its place there."""
 
     def cut(batches):
-        part, seq = TaskContext.get().partitionId() << 32, 0
-        ids, spans, words, size = [], [], [], 0
+        part, seq, block = TaskContext.get().partitionId() << 32, 0, _Block()
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
             flat, n = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
@@ -121,21 +138,18 @@ def _blocks(buckets: int, block_bytes: int):
             first = 0
             for i in range(len(doc_ids)):
                 own = int(wide[i + 1] - wide[i]) + 8
-                if size and size + own > block_bytes:
+                if block.size and block.size + own > block_bytes:
                     if i > first:
-                        ids += doc_ids[first:i]
-                        spans.append(n[first:i])
-                        words.append(flat.slice(ends[first], ends[i] - ends[first]))
-                    yield _row(ids, spans, words, part | seq, buckets)
-                    seq, first = seq + 1, i
-                    ids, spans, words, size = [], [], [], 0
-                size += own
+                        block.add(doc_ids[first:i], n[first:i], flat.slice(ends[first], ends[i] - ends[first]))
+                    yield block.row(part | seq, buckets)
+                    seq, first, block = seq + 1, i, _Block()
+                    pa.default_memory_pool().release_unused()
+                block.size += own
             if first < len(doc_ids):
-                ids += doc_ids[first:]
-                spans.append(n[first:])
-                words.append(flat.slice(ends[first]))
-        if ids:
-            yield _row(ids, spans, words, part | seq, buckets)
+                block.add(doc_ids[first:], n[first:], flat.slice(ends[first]))
+        if block.ids:
+            yield block.row(part | seq, buckets)
+            pa.default_memory_pool().release_unused()
 
     return cut
 

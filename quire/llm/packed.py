@@ -16,7 +16,7 @@ def unpack(data: bytes) -> bytes:
 
 def planes(x: np.ndarray) -> bytes:
     """The bytes of 32-bit numbers with equal places together."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.ascontiguousarray(x.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def values(data: bytes) -> np.ndarray:
