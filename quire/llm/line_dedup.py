@@ -8,7 +8,9 @@ nearly equal, some segment of the shorter one occurs unchanged in the longer one
 its place.  For each length that a partner may have, the longer line probes only the
 positions that the multi-match-aware bounds leave.
 
-1. Equal lines are folded by a 64-bit hash.
+1. Equal lines are folded by a 128-bit hash; its first half names a line in the
+   steps that follow (of different lines with one first half, which 10^12 lines have
+   a few ten thousand times, one takes part in them).
 2. Segments and probes are hashed to keys; only lines that share a key with
    another line go on (chunks of lines are pre-aggregated in the map task, so a
    segment that many lines hold is no hot key).
@@ -22,7 +24,8 @@ positions that the multi-match-aware bounds leave.
 
 Defined cases: null text counts as empty and stays null; empty lines and lines of
 white space alone are never touched; a repeated line inside one document counts as any other; ties are decided
-by line number; doc_id must be unique; other columns aren't read.
+by line number; rows with a null or repeated id are documents of their own, numbered in
+the order of ids, nulls last; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.blocks import Forest, block_pairs
 from quire.llm.packed import pack, unpack
+from quire.llm.ids import GIVEN, keyed
 from quire.llm.near_dedup import components, grouped
 from quire.llm.words import mix
 from quire.session import Scratch, ship, table
@@ -48,10 +52,19 @@ CHUNK = 1 << 20
 BLOCK, TEXT_BLOCK = 512, 128
 
 
+_SIGN = 1 << 63
+
+
 def line_hash(line: str) -> int:
+    return line_hashes(line)[0]
+
+
+def line_hashes(line: str) -> tuple[int, int]:
+    """Both halves of a line's 128-bit hash, as signed numbers."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
+    h = xxhash.xxh3_128_intdigest(line.encode())
+    return (h >> 64) - _SIGN, (h & (2 * _SIGN - 1)) - _SIGN
 
 
 def allowed(n, edits: int, per: int = CHARS_PER_EDIT):
@@ -148,12 +161,12 @@ def _lines(batch, least: int):
 
 
 def _occurrences(least: int):
-    out = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("check", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            rows = [(d, i, line_hash(x)) for d, i, x in _lines(batch, least)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 3, out, strict=True)], schema=out)
+            rows = [(d, i, *line_hashes(x)) for d, i, x in _lines(batch, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 4, out, strict=True)], schema=out)
 
     return run
 
@@ -377,8 +390,9 @@ def _verified(edits: int):
     return run
 
 
-def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """Links between hashes of different lines that are nearly equal: a forest (a, b, 0) and counts (a, a, n)."""
+def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(links, texts) of different lines that are nearly equal: a forest (a, b, 0) of their hashes and counts
+    (a, a, n); the text that each hash stands for."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -394,24 +408,37 @@ def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int
     sizes = scratch.save(sizes, "sizes")
     hints = scratch.save(block_pairs(members.join(sizes, "key"), ["role", "chars", "sketch"], _hinted(edits), "a long, b long", BLOCK), "line-hints")
     groups = grouped(hints, scratch, "line").join(texts.withColumnRenamed("line", "doc_id"), "doc_id")
-    return scratch.save(block_pairs(groups, ["text"], _verified(edits), "a long, b long, n long", TEXT_BLOCK), "line-links")
+    return scratch.save(block_pairs(groups, ["text"], _verified(edits), "a long, b long, n long", TEXT_BLOCK), "line-links"), texts
+
+
+def _checks(batches):
+    """(node, check) of the lines that links name."""
+    out = pa.schema([("node", pa.int64()), ("check", pa.int64())])
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([line_hashes(t)[1] for t in b.column(1).to_pylist()], pa.int64())], schema=out)
 
 
 def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """(doc_id, lines) with an entry for each line of a class of two or more lines: line number,
-    the class's first line, its number of links to different lines, and whether it is removed."""
+    the class's first line, its number of links to different lines, and whether it is removed.
+
+    ``doc_id`` must be neither null nor repeated.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ship(docs.sparkSession)
-    seen = scratch.save(docs.mapInArrow(_occurrences(least), "doc_id long, line_no int, line long"), "occurrences")
-    links = line_links(docs, scratch, edits, least)
+    seen = scratch.save(docs.mapInArrow(_occurrences(least), "doc_id long, line_no int, line long, check long"), "occurrences")
+    links, texts = line_links(docs, scratch, edits, least)
     degree = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = scratch.save(components(links.where("a <> b"), scratch, "line-class"), "line-components")
     classes = classes.select("node", "component").unionByName(classes.select(F.col("component").alias("node"), "component").distinct())
-    classes = scratch.save(classes.join(degree, "node").withColumnRenamed("node", "line"), "line-classes")
-    placed = seen.join(classes, "line", "left").select("doc_id", "line_no", F.coalesce("component", "line").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    checks = texts.join(classes.select(F.col("node").alias("line")), "line", "left_semi").select("line", "text").mapInArrow(_checks, "node long, check long")
+    classes = scratch.save(classes.join(degree, "node").join(checks, "node").withColumnRenamed("node", "line"), "line-classes")
+    # a class is named by its component, or by the whole hash of the one line that it holds
+    joined = seen.join(classes, ["line", "check"], "left")
+    placed = joined.select("doc_id", "line_no", F.coalesce("component", "line").alias("class"), F.when(F.col("component").isNull(), F.col("check")).alias("check"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = scratch.save(placed, "placed")
-    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    first = scratch.save(first, "first-lines")
+    first = placed.groupBy("class", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "check", "first")
+    first = scratch.save(first, "first-lines").alias("f")
     entry = F.struct(
         "line_no",
         F.col("first.doc_id").alias("class_doc_id"),
@@ -419,13 +446,24 @@ def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: i
         "n_links",
         ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no"))).alias("removed"),
     )
-    return placed.join(first, "class").select("doc_id", entry.alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("lines"))
+    same = (F.col("p.class") == F.col("f.class")) & F.col("p.check").eqNullSafe(F.col("f.check"))
+    return placed.alias("p").join(first, same).select("doc_id", entry.alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("lines"))
 
 
 def line_dedup(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """``docs``' doc_id with the kept text, ``n_lines``, ``n_removed`` and the classes of its lines."""
+    """``docs``' doc_id with the kept text, ``n_lines``, ``n_removed`` and the classes of its lines.
+
+    Where ids are null or repeated, ``class_doc_id`` is the id of the row that holds the class's first line.
+    """
+    docs, renumbered = keyed(docs.select("doc_id", "text"), scratch)
     classes = scratch.save(line_classes(docs, scratch, edits, least), "classes")
-    return apply_classes(docs, classes)
+    if not renumbered:
+        return apply_classes(docs, classes)
+    given = docs.select(F.col("doc_id").alias("number"), F.col(GIVEN).alias("id"))
+    entries = classes.select("doc_id", F.explode("lines").alias("x")).join(given, F.col("x.class_doc_id") == F.col("number"))
+    named = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("x").withField("class_doc_id", F.col("id")))).alias("lines"))
+    out = apply_classes(docs, named, (GIVEN,))
+    return out.select(F.col(GIVEN).alias("doc_id"), "text", "n_lines", "n_removed", "lines")
 
 
 def apply_classes(docs: DataFrame, classes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -23,9 +23,10 @@ at it is missed with a probability below 1.1 * ``LOSS``: at 0.85 by 24 bands of
 row lose more gets those.  No bucket is capped: a large one is spread over block pairs.
 
 Defined cases: null and wordless texts have empty sets and link with nothing;
-texts of one to four words have their whole sequence as one shingle; repeated ids
-count as one document with the union of nothing but its first set; other columns
-are not read.
+texts of one to four words have their whole sequence as one shingle; rows with a null
+or repeated id are documents of their own, numbered in the order of ids (nulls last):
+one row of a group is kept, and its id, null if no row of the group has one, is the
+component; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import Forest, block_pairs
+from quire.llm.ids import GIVEN, keyed
 from quire.llm.words import mix, window_hashes, word_hashes
 from quire.session import Scratch, ship, table
 
@@ -305,7 +307,10 @@ def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataF
 
 
 def near_links(docs: DataFrame, scratch: Scratch, least: Fraction, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(folded, links): doc_id, n_shingles, representative of all; verified links (a, b) between representatives."""
+    """(folded, links): doc_id, n_shingles, representative of all; verified links (a, b) between representatives.
+
+    ``doc_id`` must be neither null nor repeated.
+    """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = scratch.save(docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, set_hash binary"), "sketch")
@@ -314,7 +319,7 @@ def near_links(docs: DataFrame, scratch: Scratch, least: Fraction, size: int = S
     copies = scratch.save(folded, "folded")
     reps = scratch.save(first.select(F.col("rep").alias("doc_id")), "reps")
     signed = scratch.save(
-        docs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_signatures(size), "doc_id long, n_shingles int, signature binary"), "signed"
+        docs.join(reps, "doc_id", "left_semi").mapInArrow(_signatures(size), "doc_id long, n_shingles int, signature binary"), "signed"
     )
     keys = scratch.save(signed.select("doc_id", "signature").mapInArrow(_bands(*banding(least)), "key long, doc_id long"), "keys")
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -338,17 +343,22 @@ def verify(docs: DataFrame, hints: DataFrame, scratch: Scratch, least: Fraction,
     document's set is sent once for each block of its cluster.
     """
     groups = grouped(hints, scratch, "hint")
-    sets = docs.join(groups.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles binary")
+    sets = docs.join(groups.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")
     return scratch.save(block_pairs(groups.join(sets, "doc_id"), ["shingles"], _verified(least), "a long, b long", SET_BLOCK), "verified")
 
 
 def near_dedup(docs: DataFrame, scratch: Scratch, least: Fraction = Fraction(4, 5), size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document, by links of at least the similarity."""
+    """(doc_id, n_shingles, component_id, kept) of every row, by links of at least the similarity."""
+    docs, renumbered = keyed(docs.select("doc_id", "text"), scratch)
     folded, links = near_links(docs, scratch, least, size)
     joined = scratch.save(components(links, scratch), "components")
-    return folded.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = folded.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if not renumbered:
+        return out
+    given = docs.select(F.col("doc_id").alias("component_id"), F.col(GIVEN).alias("component"))
+    out = out.join(docs.select("doc_id", GIVEN), "doc_id").join(given, "component_id")
+    return out.select(F.col(GIVEN).alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

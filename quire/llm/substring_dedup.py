@@ -12,8 +12,9 @@ cover positions only, so two equal windows always share an aligned anchor.
 
 Defined cases: null and empty texts have no words; texts under 35 words lose
 nothing; a text held by two documents is removed from both, as windows are judged
-on the input; overlapping repeats inside a document count; duplicate ids aren't
-allowed, as positions are gathered by id; other columns pass by.
+on the input; overlapping repeats inside a document count; rows with a null or
+repeated id are documents of their own (``substring_dedup`` numbers them for its
+joins); other columns pass by.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.ids import GIVEN, keyed
 from quire.llm.repeats import repeated
 from quire.llm.words import mix, window_hashes, word_hashes
 from quire.session import Scratch, ship, table
@@ -92,6 +94,7 @@ def copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(doc_id, positions, copy): the starts of windows whose words also start elsewhere.
 
+    ``doc_id`` must be neither null nor repeated.
     All windows of a text held twice repeat (copy > 0), so only the first of equal
     texts is hashed further, for the sake of the others.
     """
@@ -143,9 +146,13 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, dig
 
     A text that loses nothing stays as it is, white space included.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, renumbered = keyed(docs.select("doc_id", "text"), scratch)
+    docs = rows.select("doc_id", "text")
     found = repeated_windows(docs, scratch, window)
-    return docs.join(found, "doc_id", "left").mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
+    out = docs.join(found, "doc_id", "left").mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
+    if not renumbered:
+        return out
+    return out.join(rows.select("doc_id", GIVEN), "doc_id").select(F.col(GIVEN).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def without(docs: DataFrame, starts: DataFrame, window: int = WINDOW) -> DataFrame:
