@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import curve_packing, line_dedup, near_dedup, substring_dedup, toxicity
+from quire.llm.ids import GIVEN, keyed
 from quire.llm.vocab import vocabulary_path
 from quire.session import Scratch, table
 
@@ -23,17 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with the id in ``given_id`` and a doc_id that only one row has: the id, or the row's number."""
-    docs = docs.select(F.col("doc_id").alias("given_id"), *COLUMNS)
-    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
-        return docs
-    order = [F.col(c).asc_nulls_last() for c in COLUMNS]
-    return scratch.keep(docs.orderBy(*order).withColumn("doc_id", F.monotonically_increasing_id()))
-
-
 def _given(df: DataFrame) -> DataFrame:
-    return _columns(df.withColumn("doc_id", F.col("given_id")))
+    return _columns(df.withColumn("doc_id", F.col(GIVEN)))
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -51,15 +43,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and nearly equal lines the first stays."""
     with Scratch(spark) as s:
-        docs = _keyed(docs, s)
+        docs, _ = keyed(docs.select(*COLUMNS), s)
         classes = s.keep(line_dedup.line_classes(docs, s))
-    return _given(line_dedup.apply_classes(docs, classes, ("given_id", "lang", "source")))
+    return _given(line_dedup.apply_classes(docs, classes, (GIVEN, "lang", "source")))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, all without words too."""
     with Scratch(spark) as s:
-        docs = _keyed(docs, s)
+        docs, _ = keyed(docs.select(*COLUMNS), s)
         kept = s.keep(near_dedup.near_dedup(docs, s, Fraction(4, 5)).where("kept").select("doc_id"))
     return _given(docs.join(kept, "doc_id", "left_semi"))
 
@@ -67,7 +59,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 35 words that occur more than once go."""
     with Scratch(spark) as s:
-        docs = _keyed(docs, s)
+        docs, _ = keyed(docs.select(*COLUMNS), s)
         starts = s.keep(substring_dedup.repeated_windows(docs, s))
     return _given(substring_dedup.without(docs, starts))
 
