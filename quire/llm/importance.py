@@ -18,6 +18,7 @@ smaller doc_id; repeated ids are sampled each for itself, with equal noise;
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,13 +88,20 @@ def importance(df: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, log_ratio double, n_grams long")
 
 
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as longs of the same order, by their own bits: no two different ones become a tie."""
+    bits = (np.where(np.isnan(x), -np.inf, x) + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
 def kth_largest(df: DataFrame, column: str, k: int, bits: int = 16) -> int | None:
-    """The k-th largest of a non-negative long column, by counting its digits from the highest."""
+    """The k-th largest of a long column, by counting its digits from the highest; None if there are fewer."""
+    digits = F.col(column).bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
     found, left = 0, k
     for shift in range(64 - bits, -1, -bits):
-        digit = F.shiftrightunsigned(column, shift).bitwiseAND((1 << bits) - 1)
-        rows = df if shift == 64 - bits else df.where(F.shiftrightunsigned(column, shift + bits) == found)
-        counts = {r.d: r.n for r in rows.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()}
+        digit = F.shiftrightunsigned(digits, shift).bitwiseAND((1 << bits) - 1)
+        rows = df if shift == 64 - bits else df.where(F.shiftrightunsigned(digits, shift + bits) == found)
+        counts = {r.d: r.n for r in rows.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()}  # at most 2 ** bits rows
         for d in sorted(counts, reverse=True):
             if left <= counts[d]:
                 found = (found << bits) | d
@@ -101,28 +109,42 @@ def kth_largest(df: DataFrame, column: str, k: int, bits: int = 16) -> int | Non
             left -= counts[d]
         else:
             return None
-    return found
+    return found - (1 << 63)
 
 
 def gumbel_top_k(df: DataFrame, log_weight: str, k: int, scratch: Scratch, key: str = "doc_id", seed: int = 11) -> DataFrame:
-    """``df`` with ``gumbel_key`` and ``kept``: a sample of k rows, without replacement, by weight."""
+    """``df`` with ``gumbel_key`` and ``kept``: a sample of k rows, without replacement, by weight.
+
+    Of rows with the k-th key those of the smallest ids are kept, of rows with that id those that come
+    first: three selections, each by counting, so that a key that many rows share is no hot group.
+    """
+    ship(df.sparkSession)
+
+    @F.pandas_udf("long")
+    def bits(x: pd.Series) -> pd.Series:
+        return pd.Series(ordered(x.to_numpy(np.float64, na_value=np.nan)))
+
     # 53 bits of the hash make a uniform in (0, 1)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = df.withColumn("gumbel_key", F.col(log_weight) - F.log(-F.log(u)))
-    # Rank order as a long: the key in steps of 1e-9 from -4e9, then ids break ties
-    order = F.round((F.greatest(F.least("gumbel_key", F.lit(4e9)), F.lit(-4e9)) + 4e9) * 1e9).cast("long")
-    keyed = scratch.save(keyed.withColumn("__order", order), "keyed")
-    if k <= 0:
-        return keyed.withColumn("kept", F.lit(False)).drop("__order")
-    cut = kth_largest(keyed.select("__order"), "__order", k)
-    if cut is None:
-        return keyed.withColumn("kept", F.lit(True)).drop("__order")
-    tied = keyed.where(F.col("__order") == cut).select(key)
-    room = k - keyed.where(F.col("__order") > cut).count()
-    flipped = tied.select((F.lit((1 << 63) - 1) - F.col(key)).alias("k"))
-    last = kth_largest(flipped.where("k >= 0"), "k", room)
-    chosen = F.lit(True) if last is None else F.col(key) <= (1 << 63) - 1 - last
-    return keyed.withColumn("kept", (F.col("__order") > cut) | ((F.col("__order") == cut) & chosen)).drop("__order")
+    keyed = scratch.save(keyed.withColumns({"__order": bits("gumbel_key"), "__row": F.monotonically_increasing_id()}), "keyed")
+    # complements turn the smallest into the largest; a null id comes after all others
+    ranks = {"__order": F.col("__order"), "__id": F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit(-(1 << 63))), "__first": F.bitwise_not("__row")}
+    kept, tied, left = F.lit(False), F.lit(True), k
+    for name, rank in ranks.items():
+        among = keyed.where(tied).select(rank.alias(name))
+        cut = kth_largest(among, name, left) if left > 0 else None
+        if cut is None:
+            kept |= tied & F.lit(left > 0)
+            break
+        above, same = among.agg(F.count_if(F.col(name) > cut), F.count_if(F.col(name) == cut)).collect()[0]
+        left -= above
+        kept |= tied & (rank > cut)
+        tied &= rank == cut
+        if same == left:
+            kept |= tied
+            break
+    return keyed.withColumn("kept", kept).drop("__order", "__row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,11 @@ neighbouring cells of a 9 x 8 reduction.
 Defined cases: null bytes or null text count as empty; a malformed image raises
 ``ValueError`` in ``decode`` and gives null columns in ``media_columns``; equal
 bytes give equal values, so repeated rows and ties agree; extra columns pass
-through.  Each row is worked on alone, so memory is bounded by the longest row.
+through, but one of the name of a result is replaced.  Each row is worked on alone,
+so memory is bounded by the longest row.
+
+The query goes all the way: a text is stored as PGM, decoded, written as NPY tiles,
+and payload and features are computed from the tiles that were read back.
 """
 
 from __future__ import annotations
@@ -154,29 +158,37 @@ def untile(tiles: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.concatenate([np.concatenate(r, axis=1) for r in rows.values()], axis=0)
 
 
+_MEDIA = ("height", "width", "dhash", "tiles")
+
+
 def media_columns(df: DataFrame, media: str = "media", side: int = 256) -> DataFrame:
     """``df`` with ``height``, ``width``, ``dhash`` and ``tiles`` (row, col, npy) of an image column."""
     ship(df.sparkSession)
+    kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("dhash", pa.string()), ("tiles", pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("npy", pa.binary())])))])
 
-    @F.udf("struct<height:int,width:int,dhash:string,tiles:array<struct<row:int,col:int,npy:binary>>>")
-    def read(data):
+    def read(data: bytes | None) -> dict | None:
         try:
-            image = decode(bytes(data) if data is not None else None)
+            image = decode(data)
         except ValueError:
             return None
-        return image.shape[0], image.shape[1], difference_hash(image), npy_tiles(image, side)
+        tiles = [{"row": y, "col": x, "npy": t} for y, x, t in npy_tiles(image, side)]
+        return {"height": image.shape[0], "width": image.shape[1], "dhash": difference_hash(image), "tiles": tiles}
 
-    return df.withColumn("__media", read(F.col(f"`{media}`"))).select(
-        *(F.col(f"`{c}`") for c in df.columns), *(F.col(f"__media.{c}") for c in ("height", "width", "dhash", "tiles"))
-    )
+    @F.arrow_udf("struct<height:int,width:int,dhash:string,tiles:array<struct<row:int,col:int,npy:binary>>>")
+    def column(data: pa.Array) -> pa.Array:
+        return pa.array((read(x.as_py()) for x in data), kind)
+
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in _MEDIA]
+    return df.select(*kept, column(F.col(f"`{media}`")).alias("__media")).select(*kept, *(F.col(f"__media.{c}") for c in _MEDIA))
 
 
 def text_media(text: str | None) -> tuple:
-    """A text stored as 8-bit samples, read back from the stored bytes, and its features."""
+    """A text stored as 8-bit samples, decoded, tiled and read back from its tiles, and the features of that."""
     raw = (text or "").encode()
     padded = raw + b"\0" * ((-len(raw)) % WIDTH or (0 if raw else WIDTH))
     stored = encode_pgm(padded)
-    image = decode(stored)
+    tiles = npy_tiles(decode(stored))
+    image = untile(tiles)
     back = image.tobytes()
     return (
         len(raw),
@@ -186,18 +198,20 @@ def text_media(text: str | None) -> tuple:
         len(stored),
         hashlib.sha256(stored).hexdigest(),
         difference_hash(image),
+        len(tiles),
+        sum(len(t) for _, _, t in tiles),
     )
 
 
 _OUT = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int64()), ("tile_bytes", pa.int64())]
 )
 
 
 def _text_batches(batches):
     for batch in batches:
         rows = [text_media(x.as_py()) for x in batch.column("text")]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(_OUT)[1:], strict=True))], schema=_OUT
         )
@@ -206,4 +220,4 @@ def _text_batches(batches):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(_text_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.mapInArrow(_text_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tile_bytes long")
