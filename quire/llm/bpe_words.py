@@ -289,7 +289,7 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
     blocks = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), split.alias("words")).mapInArrow(_blocks(buckets, block_bytes), _BLOCK_DDL).repartition(buckets, "block")
-    words = blocks.mapInArrow(_lists, "block long, bucket int, packed binary").repartition(buckets, "bucket")
+    words = blocks.mapInArrow(_lists, "block long, bucket int, packed binary").repartitionById(buckets, "bucket")
     tokens = words.mapInArrow(_encode(path), _TOKENS_DDL).alias("t")
     decoded = tokens.join(F.broadcast(piece_table(spark, path)).alias("p"), F.col("t.id") == F.col("p.id"), "left").select("t.*", "p.piece")
     encoded = decoded.mapInArrow(_repack, "block long, bucket int, sizes binary, ids binary, decoded binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "ids", "decoded")).alias("encoded"))

@@ -11,7 +11,7 @@ with the id, so equal keys are split too); the position of a range's first token
 sum of the ranges before it: one number a range reaches the driver.
 
 Defined cases: null and empty texts are one end token; copies have equal keys and
-follow each other by id; a text longer than a sequence spans several; no rows give
+follow each other by id, null ids first; rows with a null or repeated id are packed each for itself; a text longer than a sequence spans several; no rows give
 no pieces; only the named columns are read.
 """
 
@@ -22,6 +22,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +48,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def is_plain(spec: dict) -> bool:
+    """Is it byte-level BPE with the usual split, merges in the order of ids and plain special tokens?"""
+    pre, model, letters = spec.get("pre_tokenizer") or {}, spec["model"], _byte_letters()
+    if spec.get("normalizer") or spec.get("post_processor") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    special = {t["content"] for t in spec["added_tokens"]}
+    if not all(t["special"] for t in spec["added_tokens"]) or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(w, -1) for w in made]
+    return ids == sorted(set(ids)) and set(model["vocab"]) - special == set(letters) | set(made)
+
+
 class Encoder:
     """Ids of a byte-level BPE vocabulary file, equal to the tokenizers library's.
 
     The pre-tokenizer attaches white space to what follows, so a run of white
     space and the word after it is encoded alike wherever it stands: such units
     are encoded once and remembered (the memory is bounded).  Texts with unusual
-    white space or special tokens are encoded whole.
+    white space or special tokens are encoded whole.  A file of another kind
+    (``is_plain``) is left to the library.
     """
 
     #: Fixed value: the split pattern of this family of vocabularies.
@@ -64,6 +81,12 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = None
+        if not is_plain(spec):
+            from quire.llm.bpe_words import load
+
+            self.library = load(path)
+            return
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -83,6 +106,8 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.library is not None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         if not (self.special and self.special.search(text)):
             units = text.replace("\n", " \n").split(" ")
             head = b"" if units[0] == "" else self._unit(units[0], True)
@@ -208,24 +233,24 @@ def curve_packing(df: DataFrame, path: str, scratch: Scratch | None = None, leng
     for r in sorted(totals):
         first[r] = at
         at += totals[r]
-    laid = tokens.repartition(parts, "range").sortWithinPartitions("range", "key", "doc_id")
+    laid = tokens.repartitionById(parts, "range").sortWithinPartitions("range", "key", "doc_id")
     return laid.select("range", "doc_id", "n", "ids").mapInArrow(_pieces(first, length, with_ids), _DDL)
 
 
 def _range_of(bounds: list[tuple[int, int]]):
-    """The number of bounds at or below (key, doc_id): a binary search as nested conditions."""
-    if not bounds:
-        return F.lit(0)
-
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        key, doc = bounds[mid]
-        above = (F.col("key") > key) | ((F.col("key") == key) & (F.coalesce("doc_id", F.lit(NO_ID)) >= doc))
-        return F.when(above, search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(bounds))
+    """The number of bounds at or below (key, doc_id), by binary search over batches of both."""
+    keys, docs = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def search(key: pd.Series, doc: pd.Series) -> pd.Series:
+        k, d = key.to_numpy(np.int64), doc.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        for tied in np.unique(low[low < high]):  # rows with the key of some bounds
+            at = np.flatnonzero((low == tied) & (high > low))
+            low[at] += np.searchsorted(docs[tied : high[at[0]]], d[at], "right")
+        return pd.Series(low.astype(np.int32))
+
+    return search(F.col("key"), F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

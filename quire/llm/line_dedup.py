@@ -286,22 +286,21 @@ def _wanted(buckets: int):
 
 
 def _pick(batches):
-    """(line, text) of a bucket's wanted lines, each once."""
+    """(line, text) of a partition's wanted lines, each once; the wanted ones come first, so texts pass by."""
     out = pa.schema([("line", pa.int64()), ("text", pa.string())])
-    wanted, held = set(), []
+    wanted: set[int] = set()
     for batch in batches:
         for lines, sizes, data in zip(*(batch.column(c) for c in ("lines", "sizes", "data")), strict=True):
-            if data.is_valid:
-                held.append((lines.as_py(), sizes.as_py(), data.as_py()))
-            else:
-                wanted.update(np.frombuffer(lines.as_py(), np.int64).tolist())
-    for lines, sizes, data in held:
-        own = [(i, h) for i, h in enumerate(np.frombuffer(lines, np.int64).tolist()) if h in wanted]
-        if own:
-            ends, text = np.cumsum(np.frombuffer(sizes, np.uint32)), unpack(data)
-            starts = ends - np.frombuffer(sizes, np.uint32)
-            wanted.difference_update(h for _, h in own)
-            yield pa.RecordBatch.from_pydict({"line": [h for _, h in own], "text": [text[starts[i] : ends[i]].decode() for i, _ in own]}, schema=out)
+            here = np.frombuffer(lines.as_py(), np.int64).tolist()
+            if not data.is_valid:
+                wanted.update(here)
+                continue
+            own = [(i, h) for i, h in enumerate(here) if h in wanted]
+            if own:
+                ends, text = np.cumsum(np.frombuffer(sizes.as_py(), np.uint32)), unpack(data.as_py())
+                starts = ends - np.frombuffer(sizes.as_py(), np.uint32)
+                wanted.difference_update(h for _, h in own)
+                yield pa.RecordBatch.from_pydict({"line": [h for _, h in own], "text": [text[starts[i] : ends[i]].decode() for i, _ in own]}, schema=out)
 
 
 def _members(edits: int):
@@ -400,7 +399,7 @@ def line_links(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int
     met = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "line long").distinct()
     met = scratch.save(met, "met")
     packed = docs.select("doc_id", "text").mapInArrow(_packed_texts(least, parts), _PACKED_DDL).unionByName(met.mapInArrow(_wanted(parts), _PACKED_DDL))
-    texts = packed.repartition(parts, "bucket").mapInArrow(_pick, "line long, text string")
+    texts = packed.repartitionById(parts, "bucket").sortWithinPartitions(F.col("data").isNotNull()).mapInArrow(_pick, "line long, text string")
     texts = scratch.save(texts, "texts")
     members = scratch.save(texts.mapInArrow(_members(edits), "key long, doc_id long, role int, chars int, sketch binary"), "members")
     # a bucket needs a segment and a probe of two lines

@@ -153,5 +153,5 @@ def repeated(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[tuple]], p
     the first ``width`` bytes of both keys are compared.
     """
     packed = df.mapInArrow(_hashed(rows, parts, width), DDL)
-    found = packed.repartition(parts, "bucket").mapInArrow(_runs(width, parts), DDL)
-    return found.repartition(parts, "bucket").mapInArrow(_by_doc, "doc_id long, positions binary")
+    found = packed.repartitionById(parts, "bucket").mapInArrow(_runs(width, parts), DDL)
+    return found.repartitionById(parts, "bucket").mapInArrow(_by_doc, "doc_id long, positions binary")
