@@ -22,9 +22,8 @@ from quire.session import table
 
 QUERY = "op4_quality_rules"
 
-#: The white space between words, and the symbols counted.
-WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+#: Fixed value: the symbols counted.
+SYMBOLS = "[#*$%&|<>]"
 
 #: Common function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -71,20 +70,15 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         "__qr_lines", F.filter(F.split("__qr_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     )
     n = F.size("__qr_words")
-    window = lambda i: F.struct(
-        F.xxhash64(*(F.get("__qr_words", i + k) for k in range(WINDOW))).alias("h"),
-        F.hash(*(F.get("__qr_words", i + k) for k in range(WINDOW))).alias("g"),
-    )
-    out = out.withColumn(
-        "__qr_windows",
-        F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)),
-    )
-    # Only texts that hold some window twice pay for the sort that finds where.
+    # A window is a row of the zipped slices, so that one lambda call hashes it.
+    slices = F.arrays_zip(*(F.slice("__qr_words", k + 1, n - (WINDOW - 1)) for k in range(WINDOW)))
+    out = out.withColumn("__qr_windows", F.when(n >= WINDOW, F.transform(slices, lambda w: F.xxhash64(w))))
+    # Only texts that hold some window twice pay for the second hash and the sort that finds where.
     out = out.withColumn(
         "__qr_sorted",
         F.when(
-            F.size(F.array_distinct(F.transform("__qr_windows", lambda w: w["h"]))) < F.size("__qr_windows"),
-            F.sort_array(F.transform("__qr_windows", lambda w, i: F.struct(w["h"].alias("h"), w["g"].alias("g"), i.alias("i")))),
+            F.size(F.array_distinct("__qr_windows")) < F.size("__qr_windows"),
+            F.sort_array(F.transform(slices, lambda w, i: F.struct(F.xxhash64(w).alias("h"), F.hash(w).alias("g"), i.alias("i")))),
         ),
     )
     at = lambda i: F.get("__qr_sorted", i)
@@ -108,8 +102,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns(
         {
             "__qr_n_words": n.cast("long"),
-            "__qr_word_chars": F.length(F.translate("__qr_text", WHITE, "")).cast("long"),
-            "__qr_n_symbols": (chars - F.length(F.translate("__qr_text", SYMBOLS, ""))).cast("long"),
+            "__qr_word_chars": F.length(F.array_join("__qr_words", "")).cast("long"),
+            "__qr_n_symbols": (chars - F.length(F.regexp_replace("__qr_text", SYMBOLS, ""))).cast("long"),
             "__qr_n_lines": F.size("__qr_lines").cast("long"),
             "__qr_n_dup_lines": (F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines"))).cast("long"),
             "__qr_n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
