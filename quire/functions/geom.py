@@ -64,7 +64,7 @@ def centre_distance(a: Box, b: Box) -> Column:
 
 def per_mille(value: Column, size: Column) -> Column:
     """A coordinate in thousandths of the page, truncated."""
-    return F.floor(value * 1000 / size).cast("int")
+    return (value * 1000 / size).cast("int")
 
 
 def raster_size(points: Column, other: Column, dpi: int = 200, longest: int = 3500) -> Column:

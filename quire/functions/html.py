@@ -12,7 +12,7 @@ from quire.functions.udf import over_text
 
 #: The named entities understood.
 NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0"}
-_ENTITY = re.compile(r"&([^;]{0,9});")
+_ENTITY = re.compile(r"&([^;&]{0,9});")
 
 
 def unescape_text(s: str) -> str:
@@ -47,6 +47,29 @@ def table_unescape(c: Column) -> Column:
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
+def _entity(name: Column) -> Column:
+    """The character of an entity's name, null if unknown: names and numeric references, by built-in expressions."""
+    number = F.when(name.rlike("^#[0-9]{1,8}$"), F.substring(name, F.lit(2), F.lit(8)).try_cast("int")).when(
+        name.rlike("^#[xX][0-9a-fA-F]{1,7}$"), F.conv(F.substring(name, F.lit(3), F.lit(7)), 16, 10).try_cast("int")
+    )
+    legal = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.when(legal, number)), 8, "0")), "UTF-32")
+    out = F.when(name == "amp", "&").when(legal, letter).when(number == 0, "").when(number.isNotNull(), "\ufffd")
+    for k, v in NAMED.items():
+        out = F.when(name == k, v).otherwise(out)
+    return out
+
+
+def text_unescape(c: Column) -> Column:
+    """``unescape_text`` by built-in expressions: pieces between ampersands, each with its entity replaced."""
+
+    def piece(p: Column) -> Column:
+        rest = F.regexp_replace(p, "(?s)^&[^;]{0,9};", "")
+        return F.coalesce(F.when(p.rlike("^&[^;]{0,9};"), F.concat(_entity(F.regexp_extract(p, "^&([^;]{0,9});", 1)), rest)), p)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")).otherwise(c)
+
+
 def image_prefix(c: Column, bucket: str) -> Column:
     """``bucket/`` before relative img sources; data URIs stay."""
     if not bucket:
@@ -56,9 +79,9 @@ def image_prefix(c: Column, bucket: str) -> Column:
 
 
 def equation_tags(c: Column, left: str = "$", right: str = "$") -> Column:
-    """``<eq>x</eq>`` as `` $x$ ``, with entities of x decoded where they are named."""
+    """``<eq>x</eq>`` as `` $x$ ``, with entities of x decoded, named and numeric ones."""
     parts = F.split(c, "(?s)(?=<eq>)|(?<=</eq>)")
-    quoted = lambda x: F.concat(F.lit(f" {left}"), table_unescape(F.regexp_extract(x, "(?s)^<eq>(.*)</eq>$", 1)), F.lit(f"{right} "))
+    quoted = lambda x: F.concat(F.lit(f" {left}"), text_unescape(F.regexp_extract(x, "(?s)^<eq>(.*)</eq>$", 1)), F.lit(f"{right} "))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("(?s)^<eq>.*</eq>$"), quoted(x)).otherwise(x)), "")
 
 
@@ -98,8 +121,8 @@ def attribute(tag: Column, name: str) -> Column:
 
 def body_of(c: Column) -> Column:
     """The <table>...</table> inside an <html><body> wrapper, the text itself without one."""
-    first = F.locate("<table>", c)
-    return F.when(first > 0, F.regexp_extract(c, "(?s)(<table>.*</table>)", 1)).otherwise(c)
+    whole = F.regexp_extract(c, "(?s)(<table>.*</table>)", 1)
+    return F.when(whole != "", whole).otherwise(c)
 
 
 #: Endings that mark a continued caption, narrow and lower-case.

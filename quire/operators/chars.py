@@ -2,29 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.text import is_blank
+from quire.operators.ocr import filled_text
+
 #: Characters that may overhang a span's end or start.
 STOPS = ".!?。！？)）\"”:：;；]】}>》、,，-—–"
 STARTS = "(（\"“【{《<「『["
 
 
-def fill_spans(chars: DataFrame, spans: DataFrame) -> DataFrame:
-    """(page_id, span_pos, text): each character goes to the first span from the top that it lies in."""
-    s = spans.select("page_id", "span_pos", *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")))
+def fill_spans(chars: DataFrame, spans: DataFrame, band: float = 16.0) -> DataFrame:
+    """(page_id, span_pos, text): each character goes to the first span from the top that it lies in.
+
+    Page and horizontal band are the join's keys: a character has the band of its centre, a span every
+    band it reaches, so a long page costs no more pairs a character than a short one.
+    """
+    at = lambda y: F.floor(y / band)
+    s = spans.select("page_id", "span_pos", *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1"))).where("s_y0 <= s_y1")
+    s = s.withColumn("band", F.explode(F.sequence(at(F.col("s_y0")), at(F.col("s_y1")))))
+    chars = chars.withColumn("band", at((F.col("y0") + F.col("y1")) / 2))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     high = F.col("s_y1") - F.col("s_y0")
     level = (F.col("s_y0") < cy) & (cy < F.col("s_y1")) & (F.abs(cy - (F.col("s_y0") + F.col("s_y1")) / 2) < high * 0.33)
     centred = (F.col("s_x0") < cx) & (cx < F.col("s_x1"))
     stop = F.col("c").isin(*STOPS) & (F.col("s_x1") - high < F.col("x0")) & (F.col("x0") < F.col("s_x1")) & (cx > F.col("s_x0"))
     start = F.col("c").isin(*STARTS) & ~F.col("c").isin(*STOPS) & (F.col("s_x0") < F.col("x1")) & (F.col("x1") < F.col("s_x0") + high) & (cx < F.col("s_x1"))
-    hit = chars.join(s, "page_id").where(level & (centred | stop | start))
-    first = hit.groupBy("page_id", "idx", "c", "x0", "x1").agg(F.min_by("span_pos", F.struct("s_y0", "span_pos")).alias("span_pos"))
+    hit = chars.join(s, ["page_id", "band"]).where(level & (centred | stop | start))
+    first = hit.groupBy("page_id", "band", "idx", "c", "x0", "x1").agg(F.min_by("span_pos", F.struct("s_y0", "span_pos")).alias("span_pos"))
     return join_chars(first)
 
 
+def fill_text(chars: DataFrame, spans: DataFrame, recognise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(page_id, span_pos, text, score): embedded characters first, recognised text where they leave a span blank.
+
+    A page without characters is a scan, whose spans are all recognised.  ``recognise`` gives (page_id,
+    span_pos, text, score) of the spans it gets; text up to a score of 0.5 counts as "".
+    """
+    own = spans.select("page_id", "span_pos", "x0", "y0", "x1", "y1")
+    filled = own.join(fill_spans(chars, spans), ["page_id", "span_pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    done = filled.where(~is_blank(F.col("text"))).select("page_id", "span_pos", "text", F.lit(1.0).alias("score"))
+    left = filled.where(is_blank(F.col("text"))).drop("text")
+    if recognise is None:
+        return done.unionByName(left.select("page_id", "span_pos", F.lit("").alias("text"), F.lit(0.0).alias("score")))
+    text, score = filled_text(F.col("text"), F.col("score"))
+    return done.unionByName(recognise(left).select("page_id", "span_pos", text.alias("text"), score.alias("score")))
+
+
 def join_chars(rows: DataFrame) -> DataFrame:
     """Characters of a span in order; a space where a gap exceeds a quarter of the upper median width."""
     kept = rows.where("c NOT IN ('\\n', '\\r')")

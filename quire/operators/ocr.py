@@ -25,7 +25,14 @@ def is_skewed(height: Column, left: Column) -> Column:
 
 
 def wide_lines(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of upright spans; where a line is over four times as wide as high, its x-intervals are merged."""
+    """Lines of upright spans; where a line is over four times as wide as high, its x-intervals are merged.
+
+    Spans with a true ``skewed`` column, if there is one, take no part and come last, without a line number.
+    """
+    if "skewed" in spans.columns:
+        bent = F.coalesce("skewed", F.lit(False))
+        aside = spans.where(bent).select(*keys, F.lit(None).cast("long").alias("line_no"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n"))
+        return wide_lines(spans.where(~bent).drop("skewed"), keys).unionByName(aside)
     order = W.partitionBy(*keys).orderBy("y0", "det_pos")
     before = lambda c: F.lag(c).over(order)
     rows = spans.withColumn("__new", F.when(before("y0").isNull() | ~overlaps_y(F.col("y0"), F.col("y1"), before("y0"), before("y1")), 1).otherwise(0))
@@ -113,6 +120,11 @@ def reading_index(kept: DataFrame, keys: list[str]) -> DataFrame:
     return kept.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy("order_seq", "rank")))
 
 
+def confident(lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """Lines of a page recognised with a score of ``least`` or more (``filled_text`` asks for more)."""
+    return lines.where(F.col("score") >= least)
+
+
 def filled_text(text: Column, score: Column, least: float = 0.5) -> tuple[Column, Column]:
     """Recognised text and its score to three places, or "" and 0 up to ``least``."""
     good = score > least

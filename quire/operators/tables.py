@@ -366,7 +366,12 @@ def merge_json(s: str) -> str:
     return json.dumps(merge_pages(json.loads(s)), ensure_ascii=False)
 
 
-merged_pages = over_text(merge_json)
+_merged = over_text(merge_json)
+
+
+def merged_pages(pages: Column, enabled: bool = True) -> Column:
+    """``merge_json`` of a column, or the column as it is where merging is switched off."""
+    return _merged(pages) if enabled else pages
 
 
 def column_counts(html: Column) -> Column:

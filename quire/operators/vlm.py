@@ -12,7 +12,9 @@ TYPES = (
 ).split()
 ANGLES = {"<|rotate_up|>": 0, "<|rotate_right|>": 90, "<|rotate_down|>": 180, "<|rotate_left|>": 270}
 CONTINUED = "txt_contd_tgt"
-BLOCK = r"(?s)<\|box_start\|>(\d+)\s+(\d+)\s+(\d+)\s+(\d+)<\|box_end\|><\|ref_start\|>(\w+?)<\|ref_end\|>(.*?)(?=<\|box_start\|>|\z)"
+_MARK = "|".join(m.replace("|", "\\|") for m in ANGLES)
+#: A box, a type, a rotation mark right behind it, and all up to the next box.
+BLOCK = r"(?s)<\|box_start\|>" + r"\s+".join([r"(\d+)"] * 4) + rf"<\|box_end\|><\|ref_start\|>(\w+?)<\|ref_end\|>({_MARK})?(.*?)(?=<\|box_start\|>|\z)"
 
 
 def parse_layout(df: DataFrame, output: str, keys: list[str]) -> DataFrame:
@@ -20,23 +22,21 @@ def parse_layout(df: DataFrame, output: str, keys: list[str]) -> DataFrame:
     pattern = F.lit(BLOCK)
     found = df.select(*keys, F.posexplode(F.regexp_extract_all(output, pattern, 0)).alias("pos", "m"))
     part = lambda i: F.regexp_extract("m", BLOCK, i)
-    n = [part(i).cast("int") for i in range(1, 5)]
-    kind, tail = F.lower(part(5)), part(6)
-    rows = found.select(*keys, "pos", *(c.alias(f"n{i}") for i, c in enumerate(n)), F.when(kind == "unknown", "image").otherwise(kind).alias("type"), tail.alias("tail"))
-    rows = rows.where(F.greatest("n0", "n1", "n2", "n3") <= 1000).where(F.col("type").isin(*TYPES) & (F.col("type") != "inline_formula"))
+    n = [part(i).try_cast("int") for i in range(1, 5)]  # a number beyond int is beyond the page as well
+    kind, mark, tail = F.lower(part(5)), part(6), part(7)
+    rows = found.select(*keys, "pos", *(c.alias(f"n{i}") for i, c in enumerate(n)), F.when(kind == "unknown", "image").otherwise(kind).alias("type"), mark.alias("mark"), tail.alias("tail"))
+    rows = rows.where("n0 <= 1000 AND n1 <= 1000 AND n2 <= 1000 AND n3 <= 1000").where(F.col("type").isin(*TYPES) & (F.col("type") != "inline_formula"))
     low, high = lambda a, b: F.least(a, b) / 1000, lambda a, b: F.greatest(a, b) / 1000
     rows = rows.where("n0 <> n2 AND n1 <> n3")
     return rows.select(
         *keys, "pos", "type", low("n0", "n2").alias("x0"), low("n1", "n3").alias("y0"), high("n0", "n2").alias("x1"), high("n1", "n3").alias("y1"),
-        angle(F.col("tail")).alias("angle"), ((F.col("type") == "text") & F.contains(F.col("tail"), F.lit(CONTINUED))).alias("merge_prev"),
+        angle(F.col("mark")).alias("angle"), ((F.col("type") == "text") & F.contains(F.col("tail"), F.lit(CONTINUED))).alias("merge_prev"),
     )
 
 
-def angle(tail: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for mark, degrees in reversed(ANGLES.items()):
-        out = F.when(F.contains(tail, F.lit(mark)), degrees).otherwise(out)
-    return out
+def angle(mark: Column) -> Column:
+    """Degrees of a rotation mark, null without one."""
+    return F.create_map(*(F.lit(x) for kv in ANGLES.items() for x in kv))[mark]
 
 
 #: Types that leave the flow, and the prompt of each type's content (others: text).
@@ -58,5 +58,14 @@ def middle_type(kind: Column) -> Column:
     )
 
 
+def middle_content(kind: Column, content: Column) -> tuple[Column, Column]:
+    """(content, html) of a block in the document tree: a table's cell tokens as HTML, or as they are if they give none."""
+    from quire.operators.tables import otsl_html
+
+    made = otsl_html(F.trim(content))
+    is_table = kind == "table"
+    return F.when(~is_table, F.trim(content)), F.when(is_table, F.when(F.coalesce(made, F.lit("")) != "", made).otherwise(content))
+
+
 def page_points(rows: DataFrame, width: Column, height: Column) -> DataFrame:
     return rows.withColumns({"x0": F.col("x0") * width, "y0": F.col("y0") * height, "x1": F.col("x1") * width, "y1": F.col("y1") * height})

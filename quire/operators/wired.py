@@ -59,8 +59,9 @@ def recover_grid(boxes: np.ndarray) -> list[tuple[int, int, int, int]]:
     low, high = edges[0], float(boxes[longest[-1], 2])
 
     def note(x: float, may_end: bool) -> None:
+        """A new column edge, unless it is near the first one or, within the table, near any."""
         nonlocal low, high
-        if any(abs(e - x) <= COLUMN_GAP for e in edges[: bisect_left(edges, x) + 1]):
+        if abs(edges[0] - x) <= COLUMN_GAP:
             return
         if x < low:
             edges.insert(0, x)
@@ -69,9 +70,9 @@ def recover_grid(boxes: np.ndarray) -> list[tuple[int, int, int, int]]:
             if may_end:
                 edges.append(x)
             high = x
-        elif x < edges[-1]:
-            at = bisect_left(edges, x)
-            if abs(edges[at] - x) > COLUMN_GAP:
+        else:
+            at = bisect_left(edges, x - COLUMN_GAP)
+            if at < len(edges) and edges[at] > x + COLUMN_GAP:
                 edges.insert(at, x)
 
     for row in rows:

@@ -28,16 +28,17 @@ def interval_merge(spark, sf_dir):
 @query(
     "wide_line_merge",
     f"""WITH {FIXED},
-    a0 AS (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM s WINDOW w AS (PARTITION BY page_id ORDER BY y0, det_pos)),
+    a0 AS (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM s WHERE NOT (det_pos % 9 = 4) WINDOW w AS (PARTITION BY page_id ORDER BY y0, det_pos)),
     a1 AS (SELECT *, (sum(CASE WHEN py0 IS NULL OR NOT (least(y1 - y0, py1 - py0) > 0 AND greatest(0, least(y1, py1) - greatest(y0, py0)) > 0.6 * least(y1 - y0, py1 - py0)) THEN 1 ELSE 0 END)
         OVER (PARTITION BY page_id ORDER BY y0, det_pos ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS line_no FROM a0),
     a2 AS (SELECT *, min(x0) OVER l AS lx0, max(x1) OVER l AS lx1, min(y0) OVER l AS ly0, max(y1) OVER l AS ly1 FROM a1 WINDOW l AS (PARTITION BY page_id, line_no)),
     wd AS (SELECT * FROM a2 WHERE lx1 - lx0 > 4 * (ly1 - ly0)), {_ISLANDS.format(keys="page_id, line_no", rows="wd")}
     SELECT page_id, line_no, min(x0) AS x0, any_value(ly0) AS y0, max(x1) AS x1, any_value(ly1) AS y1, count(*) AS n FROM i1 GROUP BY page_id, line_no, run
-    UNION ALL SELECT page_id, line_no, x0, y0, x1, y1, 1 FROM a2 WHERE NOT lx1 - lx0 > 4 * (ly1 - ly0)""",
+    UNION ALL SELECT page_id, line_no, x0, y0, x1, y1, 1 FROM a2 WHERE NOT lx1 - lx0 > 4 * (ly1 - ly0)
+    UNION ALL SELECT page_id, NULL, x0, y0, x1, y1, 1 FROM s WHERE det_pos % 9 = 4""",
 )
 def wide_line_merge(spark, sf_dir):
-    return ocr.wide_lines(_spans(spark, sf_dir), ["page_id"])
+    return ocr.wide_lines(_spans(spark, sf_dir).withColumn("skewed", F.col("det_pos") % 9 == 4), ["page_id"])
 
 
 @query("box_reading_sort")
@@ -76,12 +77,12 @@ def ctc_decode(spark, sf_dir):
 
 @query(
     "reading_votes",
-    f"""WITH m AS (SELECT vec_id, i // 5 AS i, i % 5 AS j, v FROM ({_FLAT}) WHERE i < 25), p AS (SELECT *, 1 / (1 + exp(-v)) AS p FROM m WHERE i < j),
+    f"""WITH m AS (SELECT vec_id, i // 8 AS i, i % 8 AS j, v FROM ({_FLAT})), p AS (SELECT *, 1 / (1 + exp(-v)) AS p FROM m WHERE i < j),
     v AS (SELECT vec_id, j AS q, p AS vote FROM p UNION ALL SELECT vec_id, i, 1 - p FROM p), s AS (SELECT vec_id, q, round(sum(vote), 9) AS vote FROM v GROUP BY ALL)
     SELECT vec_id, q, round(vote, 6) AS vote, (row_number() OVER (PARTITION BY vec_id ORDER BY vote, q) - 1)::INT AS order_seq FROM s""",
 )
 def reading_votes(spark, sf_dir):
-    m = _flat(spark, sf_dir).where("i < 25").select("vec_id", F.expr("i div 5").alias("i"), (F.col("i") % 5).alias("j"), "v")
+    m = _flat(spark, sf_dir).select("vec_id", F.expr("i div 8").alias("i"), (F.col("i") % 8).alias("j"), "v")
     return ocr.reading_votes(m, ["vec_id"]).withColumn("vote", F.round("vote", 6))
 
 
@@ -117,11 +118,11 @@ def skewed_boxes(spark, sf_dir):
     return _spans(spark, sf_dir).select("page_id", "det_pos", ocr.is_skewed(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("skewed"))
 
 
-# ---- characters: the first 60 letters of each document on two lines of spans -------------
+# ---- characters: the letters of each document, thirty a line, under three spans a line -------------
 
 _CHARS_SQL = """ch AS (SELECT doc_id AS page_id, i AS idx, substr(replace(text, chr(10), ' '), i, 1) AS c, ((i - 1) % 30 * 10 + (i % 7) * 3)::DOUBLE AS x0, ((i - 1) % 30 * 10 + (i % 7) * 3 + 6)::DOUBLE AS x1,
-  ((i - 1) // 30 * 20)::DOUBLE AS y0, ((i - 1) // 30 * 20 + 10)::DOUBLE AS y1 FROM documents, range(1, 61) AS t(i) WHERE i <= length(text)),
-sp AS (SELECT doc_id AS page_id, k AS span_pos, (k % 3 * 100)::DOUBLE AS x0, (k % 3 * 100 + 105)::DOUBLE AS x1, (k // 3 * 20 - 1)::DOUBLE AS y0, (k // 3 * 20 + 12)::DOUBLE AS y1 FROM documents, range(0, 6) AS t(k))"""
+  ((i - 1) // 30 * 20)::DOUBLE AS y0, ((i - 1) // 30 * 20 + 10)::DOUBLE AS y1 FROM documents, range(1, length(text) + 1) AS t(i)),
+sp AS (SELECT doc_id AS page_id, k AS span_pos, (k % 3 * 100)::DOUBLE AS x0, (k % 3 * 100 + 105)::DOUBLE AS x1, (k // 3 * 20 - 1)::DOUBLE AS y0, (k // 3 * 20 + 12)::DOUBLE AS y1 FROM documents, range(0, (length(text) + 29) // 30 * 3) AS t(k))"""
 
 
 def _quoted(letters):
@@ -130,7 +131,7 @@ def _quoted(letters):
 
 @query(
     "char_span_fill",
-    f"""WITH {_CHARS_SQL}, h AS (SELECT ch.*, sp.span_pos, sp.y0 AS sy0 FROM ch JOIN sp ON ch.page_id = sp.page_id
+    f"""WITH {_CHARS_SQL}, h AS (SELECT ch.*, sp.span_pos, sp.y0 AS sy0 FROM ch JOIN sp ON ch.page_id = sp.page_id AND (ch.idx - 1) // 30 = sp.span_pos // 3 -- spans of other lines aren't level
       AND sp.y0 < (ch.y0 + ch.y1) / 2 AND (ch.y0 + ch.y1) / 2 < sp.y1 AND abs((ch.y0 + ch.y1) / 2 - (sp.y0 + sp.y1) / 2) < (sp.y1 - sp.y0) * 0.33
       AND ((sp.x0 < (ch.x0 + ch.x1) / 2 AND (ch.x0 + ch.x1) / 2 < sp.x1)
         OR (c IN ({_quoted(chars.STOPS)}) AND sp.x1 - (sp.y1 - sp.y0) < ch.x0 AND ch.x0 < sp.x1 AND (ch.x0 + ch.x1) / 2 > sp.x0)
@@ -142,10 +143,10 @@ def _quoted(letters):
 def char_span_fill(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
     i = F.col("idx")
-    ch = docs.select("page_id", "t", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("idx")).where(i <= F.length("t"))
+    ch = docs.select("page_id", F.posexplode(F.split("t", "")).alias("idx", "c")).select("page_id", (F.col("idx") + 1).alias("idx"), "c").where("c <> ''")
     x, y = ((i - 1) % 30 * 10 + (i % 7) * 3).cast("double"), (F.expr("(idx - 1) div 30") * 20).cast("double")
-    ch = ch.select("page_id", "idx", F.substring("t", i, F.lit(1)).alias("c"), x.alias("x0"), (x + 6).alias("x1"), y.alias("y0"), (y + 10).alias("y1"))
-    k = docs.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("span_pos"))
+    ch = ch.select("page_id", "idx", "c", x.alias("x0"), (x + 6).alias("x1"), y.alias("y0"), (y + 10).alias("y1"))
+    k = docs.where("t <> ''").select("page_id", F.explode(F.expr("sequence(0, cast((length(t) + 29) div 30 * 3 - 1 as int))")).alias("span_pos"))
     sx, sy = (F.col("span_pos") % 3 * 100).cast("double"), (F.expr("span_pos div 3") * 20).cast("double")
     return chars.fill_spans(ch, k.select("page_id", "span_pos", sx.alias("x0"), (sx + 105).alias("x1"), (sy - 1).alias("y0"), (sy + 12).alias("y1")))
 
@@ -160,23 +161,23 @@ def formula_tags(spark, sf_dir):
 # ---- layout text --------------------------------------------------------------------
 
 _KINDS = ("text", "title", "table", "unknown", "inline_formula", "image", "header", "equation")
-_TAILS = ("", "<|rotate_up|>", "<|rotate_right|>txt_contd_tgt", "txt_contd_tgt", "<|rotate_left|>x")
+_TAILS = ("", "<|rotate_up|>", "<|rotate_right|>txt_contd_tgt", "txt_contd_tgt", "<|rotate_left|>x", "later<|rotate_down|>", "txt_contd_tgt<|rotate_up|>")
 
 
 @query(
     "layout_text_parse",
-    f"""WITH e AS (SELECT event_id // 10 AS page_id, event_id % 10 AS pos, event_id * 37 % 1010 AS a, event_id * 71 % 1000 AS b, event_id * 53 % 1000 AS c, event_id * 29 % 1000 AS d,
+    f"""WITH e AS (SELECT event_id // 10 AS page_id, event_id % 10 AS pos, CASE WHEN event_id % 97 = 5 THEN 99999999999 ELSE event_id * 37 % 1010 END AS a, event_id * 71 % 1000 AS b, event_id * 53 % 1000 AS c, event_id * 29 % 1000 AS d,
       [{", ".join(f"'{k}'" for k in _KINDS)}][(event_id % {len(_KINDS)})::INT + 1] AS k, [{", ".join(f"'{t}'" for t in _TAILS)}][(event_id % {len(_TAILS)})::INT + 1] AS tail FROM events),
     v AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS p FROM e)
     SELECT page_id, p AS pos, CASE WHEN k = 'unknown' THEN 'image' ELSE k END AS type, least(a, c) / 1000.0::DOUBLE AS x0, least(b, d) / 1000.0::DOUBLE AS y0, greatest(a, c) / 1000.0::DOUBLE AS x1, greatest(b, d) / 1000.0::DOUBLE AS y1,
-      CASE WHEN contains(tail, '<|rotate_up|>') THEN 0 WHEN contains(tail, '<|rotate_right|>') THEN 90 WHEN contains(tail, '<|rotate_left|>') THEN 270 END AS angle,
+      CASE WHEN starts_with(tail, '<|rotate_up|>') THEN 0 WHEN starts_with(tail, '<|rotate_right|>') THEN 90 WHEN starts_with(tail, '<|rotate_left|>') THEN 270 END AS angle,
       k = 'text' AND contains(tail, 'txt_contd_tgt') AS merge_prev FROM v WHERE k <> 'inline_formula' AND greatest(a, b, c, d) <= 1000 AND a <> c AND b <> d""",
 )
 def layout_text_parse(spark, sf_dir):
     e = F.col("event_id")
     kind = F.get(F.array(*map(F.lit, _KINDS)), (e % len(_KINDS)).cast("int"))
     tail = F.get(F.array(*map(F.lit, _TAILS)), (e % len(_TAILS)).cast("int"))
-    one = F.format_string("<|box_start|>%d %d %d %d<|box_end|><|ref_start|>%s<|ref_end|>%s", e * 37 % 1010, e * 71 % 1000, e * 53 % 1000, e * 29 % 1000, kind, tail)
+    one = F.format_string("<|box_start|>%d %d %d %d<|box_end|><|ref_start|>%s<|ref_end|>%s", F.when(e % 97 == 5, F.lit(99999999999)).otherwise(e * 37 % 1010), e * 71 % 1000, e * 53 % 1000, e * 29 % 1000, kind, tail)
     rows = table(spark, sf_dir, "events").select(F.expr("event_id div 10").alias("page_id"), (e % 10).alias("pos"), one.alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "")
     return vlm.parse_layout(rows.groupBy("page_id").agg(text.alias("output")), "output", ["page_id"])
