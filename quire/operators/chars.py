@@ -24,6 +24,9 @@ def fill_spans(chars: DataFrame, spans: DataFrame, band: float = 16.0) -> DataFr
     """
     at = lambda y: F.floor(y / band)
     s = spans.select("page_id", "span_pos", *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1"))).where("s_y0 <= s_y1")
+    # a span's place from the top and its position in one number, whose least is a plain hash aggregate
+    rank = F.row_number().over(W.partitionBy("page_id").orderBy("s_y0", "span_pos")).cast("long")
+    s = s.withColumn("place", F.shiftleft(rank, 32) + F.col("span_pos"))
     s = s.withColumn("band", F.explode(F.sequence(at(F.col("s_y0")), at(F.col("s_y1")))))
     chars = chars.withColumn("band", at((F.col("y0") + F.col("y1")) / 2))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
@@ -33,8 +36,8 @@ def fill_spans(chars: DataFrame, spans: DataFrame, band: float = 16.0) -> DataFr
     stop = F.col("c").isin(*STOPS) & (F.col("s_x1") - high < F.col("x0")) & (F.col("x0") < F.col("s_x1")) & (cx > F.col("s_x0"))
     start = F.col("c").isin(*STARTS) & ~F.col("c").isin(*STOPS) & (F.col("s_x0") < F.col("x1")) & (F.col("x1") < F.col("s_x0") + high) & (cx < F.col("s_x1"))
     hit = chars.join(s, ["page_id", "band"]).where(level & (centred | stop | start))
-    first = hit.groupBy("page_id", "band", "idx", "c", "x0", "x1").agg(F.min_by("span_pos", F.struct("s_y0", "span_pos")).alias("span_pos"))
-    return join_chars(first)
+    first = hit.groupBy("page_id", "band", "idx", "c", "x0", "x1").agg(F.min("place").alias("place"))
+    return join_chars(first.withColumn("span_pos", F.col("place").bitwiseAND((1 << 32) - 1).cast(spans.schema["span_pos"].dataType)))
 
 
 def fill_text(chars: DataFrame, spans: DataFrame, recognise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -55,15 +58,16 @@ def fill_text(chars: DataFrame, spans: DataFrame, recognise: Callable[[DataFrame
 
 def join_chars(rows: DataFrame) -> DataFrame:
     """Characters of a span in order; a space where a gap exceeds a quarter of the upper median width."""
-    kept = rows.where("c NOT IN ('\\n', '\\r')")
-    span = W.partitionBy("page_id", "span_pos")
-    order = span.orderBy("idx")
-    widths = F.array_sort(F.collect_list(F.col("x1") - F.col("x0")).over(span))
-    median = F.get(widths, F.floor(F.size(widths) / 2).cast("int"))
-    ahead = lambda c: F.lead(c).over(order)
-    gap = (ahead("x0") - F.col("x1") > median * 0.25) & (F.col("c") != " ") & (ahead("c") != " ")
-    shown = kept.select("page_id", "span_pos", "idx", F.concat("c", F.when(gap, " ").otherwise("")).alias("p"))
-    return shown.groupBy("page_id", "span_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "p"))), lambda x: x["p"]), "").alias("text"))
+    spans = rows.where("c NOT IN ('\\n', '\\r')").groupBy("page_id", "span_pos").agg(F.array_sort(F.collect_list(F.struct("idx", "c", "x0", "x1"))).alias("cs"))
+    widths = F.array_sort(F.transform("cs", lambda x: x["x1"] - x["x0"]))
+    spans = spans.withColumn("wide", F.get(widths, F.floor(F.size(widths) / 2).cast("int")) * 0.25)
+
+    def piece(x, i):
+        ahead = F.get("cs", i + 1)
+        gap = (ahead["x0"] - x["x1"] > F.col("wide")) & (x["c"] != " ") & (ahead["c"] != " ")
+        return F.when(gap, F.concat(x["c"], F.lit(" "))).otherwise(x["c"])
+
+    return spans.select("page_id", "span_pos", F.array_join(F.transform("cs", piece), "").alias("text"))
 
 
 def code_points(cp: list[int]) -> str:

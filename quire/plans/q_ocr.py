@@ -120,8 +120,8 @@ def skewed_boxes(spark, sf_dir):
 
 # ---- characters: the letters of each document, thirty a line, under three spans a line -------------
 
-_CHARS_SQL = """ch AS (SELECT doc_id AS page_id, i AS idx, substr(replace(text, chr(10), ' '), i, 1) AS c, ((i - 1) % 30 * 10 + (i % 7) * 3)::DOUBLE AS x0, ((i - 1) % 30 * 10 + (i % 7) * 3 + 6)::DOUBLE AS x1,
-  ((i - 1) // 30 * 20)::DOUBLE AS y0, ((i - 1) // 30 * 20 + 10)::DOUBLE AS y1 FROM documents, range(1, length(text) + 1) AS t(i)),
+_CHARS_SQL = """ch AS (SELECT doc_id AS page_id, i AS idx, l[i] AS c, ((i - 1) % 30 * 10 + (i % 7) * 3)::DOUBLE AS x0, ((i - 1) % 30 * 10 + (i % 7) * 3 + 6)::DOUBLE AS x1,
+  ((i - 1) // 30 * 20)::DOUBLE AS y0, ((i - 1) // 30 * 20 + 10)::DOUBLE AS y1 FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(10), ' '), '(?s).') AS l FROM documents), range(1, len(l) + 1) AS t(i)),
 sp AS (SELECT doc_id AS page_id, k AS span_pos, (k % 3 * 100)::DOUBLE AS x0, (k % 3 * 100 + 105)::DOUBLE AS x1, (k // 3 * 20 - 1)::DOUBLE AS y0, (k // 3 * 20 + 12)::DOUBLE AS y1 FROM documents, range(0, (length(text) + 29) // 30 * 3) AS t(k))"""
 
 
