@@ -54,12 +54,14 @@ def write_artefacts(rows: DataFrame, path: str, backend: str = "pipeline") -> No
     rows.select("stem", F.lit(backend).alias("backend"), "artefact", F.col("payload").alias("value")).write.partitionBy("stem", "backend", "artefact").mode("overwrite").text(path)
 
 
-def response(df: DataFrame, pages: str, images: Column | None = None) -> DataFrame:
-    """``df`` with a JSON ``response``: Markdown, content list and pictures by name."""
-    out = F.struct(
-        render.markdown(F.col(pages)).alias("md_content"), F.parse_json(render.content_list(F.col(pages))).alias("content_list"), (F.create_map().cast("map<string,string>") if images is None else images).alias("images")
-    )
-    return df.withColumn("response", F.to_json(out))
+def response(df: DataFrame, pages: str, images: Column | None = None, layout_pdf: Column | None = None, timing: Column | None = None, o: render.Options = render.Options()) -> DataFrame:
+    """``df`` with a JSON ``response``: Markdown, content list and pictures by name; the overlay (base64) and
+    the seconds of each stage where they are given."""
+    parts = {
+        "md_content": render.markdown(F.col(pages), "mm", o), "content_list": F.parse_json(render.content_list(F.col(pages), o)),
+        "images": F.create_map().cast("map<string,string>") if images is None else images, "layout_pdf": layout_pdf, "timing": timing,
+    }
+    return df.withColumn("response", F.to_json(F.struct(*(c.alias(k) for k, c in parts.items() if c is not None))))
 
 
 def layout_only(blocks: DataFrame, keys: list[str]) -> DataFrame:
