@@ -41,7 +41,15 @@ def wide_line_merge(spark, sf_dir):
     return ocr.wide_lines(_spans(spark, sf_dir).withColumn("skewed", F.col("det_pos") % 9 == 4), ["page_id"])
 
 
-@query("box_reading_sort")
+@query(
+    "box_reading_sort",
+    f"""WITH {FIXED}, l AS (SELECT page_id, list({{'d': det_pos, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY y0, x0, det_pos) AS boxes FROM s GROUP BY page_id),
+    -- each box in turn is put behind the last one that it doesn't pass
+    o AS (SELECT page_id, list_reduce(list_transform(boxes, lambda b: [b]), lambda done, e:
+        done[:coalesce(list_max(list_filter(range(1, len(done) + 1), lambda j: NOT (abs(e[1].y0 - done[j].y0) < 10 AND e[1].x0 < done[j].x0))), 0)] || e ||
+        done[coalesce(list_max(list_filter(range(1, len(done) + 1), lambda j: NOT (abs(e[1].y0 - done[j].y0) < 10 AND e[1].x0 < done[j].x0))), 0) + 1:]) AS boxes FROM l)
+    SELECT page_id, boxes[i].d AS det_pos, boxes[i].x0 AS x0, boxes[i].y0 AS y0, boxes[i].x1 AS x1, boxes[i].y1 AS y1, (i - 1)::INT AS "order" FROM o, range(1, len(boxes) + 1) AS t(i)""",
+)
 def box_reading_sort(spark, sf_dir):
     return ocr.reading_sort(_spans(spark, sf_dir).select("page_id", "det_pos", "x0", "y0", "x1", "y1"), ["page_id"])
 
@@ -151,11 +159,33 @@ def char_span_fill(spark, sf_dir):
     return chars.fill_spans(ch, k.select("page_id", "span_pos", sx.alias("x0"), (sx + 105).alias("x1"), (sy - 1).alias("y0"), (sy + 12).alias("y1")))
 
 
-@query("formula_tags")
+_BLANK_OR = "CASE WHEN page_id % 4 = 1 AND det_pos % 2 = 0 AND type = 'interline_equation' THEN ' ' ELSE '(' || text || ')' END"
+_BARE = "regexp_replace(trim(x.text), '^\\(|\\)$', '', 'g')"
+_BLANK_LAST = "trim(done[-1].text) = ''"
+
+
+@query(
+    "formula_tags",
+    f"""WITH {FIXED}, k AS (SELECT page_id, det_pos, index, text, CASE det_pos % 3 WHEN 0 THEN 'interline_equation' WHEN 1 THEN 'formula_number' ELSE type END AS type FROM r),
+    t AS (SELECT page_id, index, type, {_BLANK_OR} AS text FROM k),
+    n AS (SELECT *, coalesce(lead(type) OVER w = 'interline_equation' AND trim(lead(text) OVER w) <> '' AND coalesce(lead(type, 2) OVER w, '') <> 'formula_number', false) AS ahead FROM t WINDOW w AS (PARTITION BY page_id ORDER BY index)),
+    l AS (SELECT page_id, list({{'index': index, 'type': type, 'text': text, 'ahead': ahead, 'tag': ''}} ORDER BY index) AS bs FROM n GROUP BY page_id),
+    -- a fold over the blocks; a tag for the equation ahead waits in an entry of its own
+    fo AS (SELECT page_id, list_reduce(list_prepend([{{'index': -1, 'type': '', 'text': '', 'ahead': false, 'tag': ''}}], list_transform(bs, lambda b: [b])), lambda done, e: CASE
+        WHEN e[1].type = 'formula_number' AND done[-1].type = 'interline_equation' AND NOT {_BLANK_LAST} THEN
+          done[:-2] || [{{'index': done[-1].index, 'type': done[-1].type, 'text': done[-1].text || '\\tag{{' || {_BARE.replace("x.", "e[1].")} || '}}', 'ahead': false, 'tag': ''}}]
+        WHEN e[1].type = 'formula_number' AND done[-1].type <> 'interline_equation' AND e[1].ahead THEN done || [{{'index': e[1].index, 'type': 'wait', 'text': '', 'ahead': false, 'tag': '\\tag{{' || {_BARE.replace("x.", "e[1].")} || '}}'}}]
+        WHEN e[1].type = 'formula_number' THEN done || [{{'index': e[1].index, 'type': 'text', 'text': e[1].text, 'ahead': false, 'tag': ''}}]
+        WHEN done[-1].type = 'wait' THEN done[:-2] || [{{'index': e[1].index, 'type': e[1].type, 'text': e[1].text || done[-1].tag, 'ahead': false, 'tag': ''}}]
+        ELSE done || e END) AS bs FROM l)
+    SELECT page_id, b.index AS index, b.type AS type, b.text AS text FROM (SELECT page_id, unnest(bs) AS b FROM fo) WHERE b.index >= 0""",
+)
 def formula_tags(spark, sf_dir):
     rows = layout.regions_of(layout.fix_axis(views.dets(spark, sf_dir)))
     kind = F.when(F.col("det_pos") % 3 == 0, "interline_equation").when(F.col("det_pos") % 3 == 1, "formula_number").otherwise(F.col("type"))
-    return formula.tag_formulas(rows.select("page_id", "index", kind.alias("type"), F.concat(F.lit("("), "text", F.lit(")")).alias("text")), ["page_id"])
+    rows = rows.withColumn("type", kind)
+    blank = (F.col("page_id") % 4 == 1) & (F.col("det_pos") % 2 == 0) & (F.col("type") == "interline_equation")
+    return formula.tag_formulas(rows.select("page_id", "index", "type", F.when(blank, " ").otherwise(F.concat(F.lit("("), "text", F.lit(")"))).alias("text")), ["page_id"])
 
 
 # ---- layout text --------------------------------------------------------------------

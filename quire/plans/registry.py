@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def sql(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Callable]:
     from quire.plans import catalog  # noqa: F401  registers
 

@@ -42,9 +42,15 @@ def externalise(df: DataFrame, key: str, path: str) -> tuple[DataFrame, DataFram
     return rows, pictures
 
 
-def artefacts(df: DataFrame, stem: str, pages: str, o: render.Options = render.Options(bucket="images")) -> DataFrame:
-    """(stem, artefact, payload) of each document: Markdown, flat content list and the tree."""
-    made = {".md": render.markdown(F.col(pages), "mm", o), "_content_list.json": render.content_list(F.col(pages), o), "_middle.json": F.to_json(F.struct(F.col(pages).alias("pdf_info")))}
+def artefacts(df: DataFrame, stem: str, pages: str, o: render.Options = render.Options(bucket="images"), model: str | None = None) -> DataFrame:
+    """(stem, artefact, payload) of each document: Markdown, both content lists and the tree; the detections
+    too where ``model`` names their column."""
+    made = {
+        ".md": render.markdown(F.col(pages), "mm", o), "_content_list.json": render.content_list(F.col(pages), o),
+        "_content_list_v2.json": render.content_list_v2(F.col(pages), o), "_middle.json": F.to_json(F.struct(F.col(pages).alias("pdf_info"))),
+    }
+    if model is not None:
+        made["_model.json"] = F.to_json(F.col(model))
     rows = df.select(F.col(stem).alias("stem"), F.explode(F.create_map(*(x for k, v in made.items() for x in (F.lit(k), v)))).alias("artefact", "payload"))
     return rows
 
