@@ -165,6 +165,56 @@ def take_wireless(wired_cells: Column, wireless_cells: Column, wired_texts: Colu
     )
 
 
+def found_texts(html_: Column, texts: Column) -> Column:
+    """How many of the recognised texts the HTML holds; blank ones don't count."""
+    return F.size(F.filter(texts, lambda t: (t != "") & F.contains(html_, t)))
+
+
+def choose_html(wired: Column, wireless: Column, texts: Column) -> Column:
+    """The better of a table's two readings, by cells, cells with text and recognised texts found.
+
+    An empty ruled reading loses.  ``texts`` are those recognised in the table.
+    """
+    from quire.functions.html import blank_cells, cell_count, cell_texts
+
+    full = lambda c: F.size(cell_texts(c)) - blank_cells(c)
+    ruled, plain = full(wired), full(wireless)
+    scale = F.bround(F.sqrt(ruled.cast("double")), 0)
+    switched = (plain > ruled) & (plain + 3 >= F.greatest(ruled + scale * 2, scale * (scale + 2)))
+    better = take_wireless(cell_count(wired), cell_count(wireless), found_texts(wired, texts), found_texts(wireless, texts), switched)
+    return F.when((F.coalesce(wired, F.lit("")) == "") | better, wireless).otherwise(wired)
+
+
+def tries_wired(label: Column, score: Column, n_texts: Column) -> Column:
+    """Is a table worth a ruled reading? It is classed as ruled, or as unruled without much certainty, and holds text."""
+    return (n_texts > 0) & ((label == "wired_table") | ((label == "wireless_table") & (score < 0.9)))
+
+
+def decode_structure(steps: DataFrame, boxes: DataFrame, keys: list[str], letters: list[str], start: int, end: int, side: float = 488.0) -> tuple[DataFrame, DataFrame]:
+    """(tokens (keys, pos, token), cells (keys, cell, c0..c7)) of a structure recogniser's output.
+
+    ``steps`` are (keys, t, cls, p), of which the best class a step counts, the first of equal ones; decoding
+    stops at the first ``end`` behind step 0, and ``start`` and ``end`` are no tokens.  ``boxes`` are (keys, t,
+    w, h, b0..b7) in parts of a picture of w x h; cells are those of steps with a ``<td`` token, in the square of
+    ``side`` that the picture was padded to.
+    """
+    best = steps.groupBy(*keys, "t").agg(F.max_by("cls", F.struct("p", -F.col("cls"))).alias("cls"))
+    stop = F.min(F.when((F.col("t") > 0) & (F.col("cls") == end), F.col("t"))).over(W.partitionBy(*keys))
+    kept = best.withColumn("stop", stop).where("stop IS NULL OR t < stop").where(~F.col("cls").isin(start, end))
+    kept = kept.select(*keys, "t", F.get(F.array(*map(F.lit, letters)), F.col("cls").cast("int")).alias("token"))
+    head, tail = ("<html>", "<body>", "<table>"), ("</table>", "</body>", "</html>")
+    order = W.partitionBy(*keys).orderBy("t")
+    placed = kept.select(*keys, (F.row_number().over(order) + len(head) - 1).alias("pos"), "token")
+    ends = steps.select(*keys).distinct().join(placed.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    outer = ends.select(*keys, F.posexplode(F.array(*map(F.lit, (*head, *tail)))).alias("i", "token"), "n")
+    outer = outer.select(*keys, F.when(F.col("i") < len(head), F.col("i")).otherwise(F.col("i") + F.col("n")).cast("int").alias("pos"), "token")
+    td = kept.where(F.contains("token", F.lit("<td"))).join(boxes, [*keys, "t"])
+    size = lambda i: F.col("h") if i % 2 else F.col("w")
+    fit = F.least(F.lit(side) / F.col("h"), F.lit(side) / F.col("w"))
+    cells = td.select(*keys, (F.row_number().over(order) - 1).alias("cell"), *((F.col(f"b{i}") * size(i) * (F.lit(side) / (size(i) * fit))).alias(f"c{i}") for i in range(8)))
+    return placed.unionByName(outer), cells
+
+
 # ---- HTML tables ----------------------------------------------------------------
 
 _ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr\s*>", re.S | re.I)
