@@ -4,10 +4,12 @@ Words are classed into symbols: insult, threat, target, negation, reported
 speech, clause end, other.  Five small transducers read the symbols: one each for
 insults and threats, and three that keep a scope (a negation covers the next
 three words, a report the rest of its sentence, a target reaches five words).
-``compose`` multiplies them into one deterministic machine whose output is the
-kind of each matched clause: an insult aimed at someone is another event than a
-negated or a quoted one.  A logistic layer over the event counts, fitted on the
-labelled rows, weighs the events and gives the score.
+``compose`` multiplies them into one deterministic machine; a second one reads each
+clause from its end, so that a target behind an insult ("idiots like you") counts as
+one before it.  Together they give the kinds of a clause: an insult aimed at someone
+is another event than a negated or a quoted one, and a clause counts once for each
+kind, however many words of it match.  A logistic layer over the clause counts,
+fitted on the labelled rows, weighs the events and gives the score.
 
 The insult lexicon is the fixed list below and stems learned from labelled rows:
 prefixes of 4 to 8 letters that are far likelier in toxic than in other texts and
@@ -122,8 +124,12 @@ class Grammar:
         self.symbol = {w: s for s, words in LEXICON.items() for w in words.split()}
         self.stems = stems
         self.to, tags = compose(_kind(INSULT, "I"), _kind(THREAT, "H"), _scope(NEGATION, 3, "n"), _report(), _scope(TARGET, 5, "t"))
+        self.back, aims = compose(_scope(TARGET, 5, "t"))
         at = {t: i for i, t in enumerate(EVENTS)}
         self.out = [[at.get(t, -1) if t[:1] in ("I", "H") else -1 for t in row] for row in tags]
+        self.aims = [[bool(t) for t in row] for row in aims]
+        #: Each event with a target added.
+        self.aimed = [at[t if t.endswith("t") else t + "t"] for t in EVENTS]
         self.cache: dict[str, int] = {}
 
     def classify(self, word: str) -> int:
@@ -143,13 +149,28 @@ class Grammar:
         symbols = [self.classify(w) for w in TOKEN.findall((text or "").lower())]
         if INSULT not in symbols and THREAT not in symbols:
             return counts
-        to, out, state = self.to.tolist(), self.out, 0
-        for x in symbols:
-            if (e := out[state][x]) >= 0:
-                counts[e] += 1
+        to, out, state, start = self.to.tolist(), self.out, 0, 0
+        found: list[tuple[int, int]] = []  # places and events of the clause under way
+        for k, x in enumerate([*symbols, END]):
+            if x == END:
+                if found:
+                    for e in self._clause(symbols[start:k], found, start):
+                        counts[e] += 1
+                    found = []
+                start = k + 1
+            elif (e := out[state][x]) >= 0:
+                found.append((k, e))
             state = to[state][x]
         return counts
 
+    def _clause(self, symbols: list[int], found: list[tuple[int, int]], start: int) -> set[int]:
+        """The kinds of a clause: events found from the left, aimed if the machine from the right says so too."""
+        back, state, aimed = self.back.tolist(), 0, [False] * len(symbols)
+        for k in range(len(symbols) - 1, -1, -1):
+            aimed[k] = self.aims[state][symbols[k]]
+            state = back[state][symbols[k]]
+        return {self.aimed[e] if aimed[k - start] else e for k, e in found}
+
 
 @dataclass(frozen=True)
 class Model:
@@ -174,8 +195,9 @@ def _prefix_counts(batches):
     yield pa.RecordBatch.from_pydict({"prefix": [r[0] for r in rows], "n": [r[1] for r in rows], "toxic": [r[2] for r in rows]}, schema=pa.schema([("prefix", pa.string()), ("n", pa.int64()), ("toxic", pa.int32())]))
 
 
-def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, odds: float = 3.5, least: int = 3, share: float = 0.01) -> frozenset[str]:
-    """Prefixes with a log ratio of smoothed rates over ``odds``, in at least ``least`` toxic texts and a ``share`` of them.
+def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, odds: float = 2.4, least: int = 3, share: float = 0.01) -> frozenset[str]:
+    """Prefixes whose log ratio of smoothed rates, less its standard error, is over ``odds``, in at least ``least``
+    toxic texts and a ``share`` of them.
 
     All prefixes are judged where they are counted.  A passing prefix stands in a ``share`` of the
     toxic texts, so those that reach the driver are bounded by the length of the bounded sample's texts.
@@ -184,7 +206,8 @@ def learn_stems(train: DataFrame, n_toxic: int, n_clean: int, odds: float = 3.5,
         *(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "bad"), (0, "good")))
     )
     rate = lambda n, of: (F.col(n) + 0.5) / (of + 1)
-    judged = sums.where((F.col("bad") >= max(least, math.ceil(share * n_toxic))) & (F.log(rate("bad", n_toxic) / rate("good", n_clean)) > odds))
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    judged = sums.where((F.col("bad") >= max(least, int(share * n_toxic))) & (F.log(rate("bad", n_toxic) / rate("good", n_clean)) - error > odds))
     return frozenset(r.prefix for r in judged.select("prefix").collect())
 
 

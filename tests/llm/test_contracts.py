@@ -63,7 +63,9 @@ def test_grammar_composition():
     assert kinds("not an idiot") == {"In"}
     assert kinds("they wrote: nothing. He said you are an idiot") == {"Irt"}
     assert kinds("he said so. idiot") == {"I"}
-    assert kinds("I will kill you") == {"H"}
+    assert kinds("I will kill you") == {"Ht"}
+    assert kinds("idiots like you") == {"It"}
+    assert kinds("an idiot. You there") == {"I"}
     assert kinds("you will not hurt me") == {"Hnt"}
     assert kinds(None) == kinds("") == set()
 
