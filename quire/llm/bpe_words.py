@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.batches import batch_rows
 from quire.llm.packed import pack, pack_numbers, unpack, unpack_numbers
 from quire.llm.vocab import vocabulary_path
 from quire.llm.words import word_hashes
@@ -45,8 +46,9 @@ QUERY = "op8_bpe_words"
 ORACLE_SQL = None
 
 BLOCK_BYTES = 32 << 20
-SLICE_WORDS = 1 << 19
+SLICE_WORDS = 1 << 18
 MOST_PIECES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def load(path: str):
@@ -76,8 +78,8 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(range(len(table_)), pa.int32()), "piece": pa.array(table_, pa.string())}))
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.binary()), ("at", pa.binary()), ("route", pa.binary()), ("words", pa.list_(pa.binary()))])
-_BLOCK_DDL = "block long, ids array<long>, spans binary, at binary, route binary, words array<binary>"
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.binary())), ("at", pa.list_(pa.binary())), ("route", pa.binary()), ("words", pa.list_(pa.binary()))])
+_BLOCK_DDL = "block long, ids array<long>, spans array<binary>, at array<binary>, route binary, words array<binary>"
 
 
 def _joined(words: pa.Array, cuts: np.ndarray, separator: bytes) -> pa.Array:
@@ -86,39 +88,46 @@ def _joined(words: pa.Array, cuts: np.ndarray, separator: bytes) -> pa.Array:
 
 
 class _Block:
-    """The documents of a block under way: distinct words and the place of each word among them."""
+    """The documents of a block under way: distinct words, their counts, and the place of each word among them.
+
+    Places stay in chunks of whole documents, so that no step holds a copy of them all.
+    """
 
     def __init__(self):
         self.ids: list = []
         self.spans: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
         self.seen: dict[bytes, int] = {}
+        self.count = np.zeros(0, np.int64)
         self.size = 0
 
     def add(self, doc_ids: list, spans: np.ndarray, words: pa.Array) -> None:
         coded = words.dictionary_encode()
         distinct, seen = coded.dictionary.cast(pa.binary()).to_pylist(), self.seen
         place = np.fromiter((seen.setdefault(w, len(seen)) for w in distinct), np.uint32, len(distinct))
+        where = coded.indices.to_numpy()
+        self.count = np.concatenate([self.count, np.zeros(len(seen) - len(self.count), np.int64)])
+        self.count[place] += np.bincount(where, minlength=len(distinct))
         self.ids += doc_ids
         self.spans.append(spans)
-        self.at.append(place[coded.indices.to_numpy()])
+        self.at.append(place[where])
 
     def row(self, block: int, buckets: int) -> pa.RecordBatch:
-        where = np.concatenate(self.at)
-        self.at.clear()
         distinct = pa.array(self.seen, pa.large_binary())
-        count = np.bincount(where, minlength=len(distinct))
+        hashes = word_hashes(list(self.seen))
+        self.seen.clear()
         # numbered by frequency, then by spelling, so that numbers and word lists compress well
-        order = pc.sort_indices(pa.table({"n": count, "w": distinct}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
+        order = pc.sort_indices(pa.table({"n": self.count, "w": distinct}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
         number = np.empty(len(distinct), np.uint32)
         number[order] = np.arange(len(distinct), dtype=np.uint32)
-        bucket = ((word_hashes(list(self.seen)) >> np.uint64(32)) % np.uint64(buckets))[order]
+        bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets))[order]
+        at = [pack_numbers(number[self.at.pop(0)]) for _ in range(len(self.at))]
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         lists = _joined(distinct.take(pa.array(order[by_bucket])), cuts, b" ")
         return pa.RecordBatch.from_pydict(
             {
-                "block": [block], "ids": [self.ids], "spans": [pack_numbers(np.concatenate(self.spans))], "at": [pack_numbers(number[where])], "route": [pack_numbers(bucket)],
+                "block": [block], "ids": [self.ids], "spans": [[pack_numbers(x) for x in self.spans]], "at": [at], "route": [pack_numbers(bucket)],
                 "words": [[pack(x.as_py()) if x.as_py() else b"" for x in lists]],
             },
             schema=_BLOCK,
@@ -130,7 +139,7 @@ def _blocks(buckets: int, block_bytes: int):
 
     def cut(batches):
         part, seq, block = TaskContext.get().partitionId() << 32, 0, _Block()
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
             flat, n = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -245,32 +254,37 @@ def _word_table(encoded: list[dict], route: np.ndarray) -> tuple[np.ndarray, pa.
 def _join(want: str, out: pa.Schema):
     """Word ids to the positions of each block, a slice of documents at a time."""
 
+    def rows(doc_ids: list, spans: np.ndarray, at: np.ndarray, sizes: np.ndarray, ids: pa.Array, decoded: pa.Array, coded: pa.Array):
+        ends, first = np.concatenate([[0], np.cumsum(spans)]), 0
+        while first < len(doc_ids):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_WORDS, "right")) - 1)
+            here = at[ends[first] : ends[last]]
+            some = sizes[here] > 0  # a word may have no ids
+            cuts = np.concatenate([[0], np.cumsum(some)])[ends[first : last + 1] - ends[first]]
+            tokens = np.concatenate([[0], np.cumsum(sizes[here])])[ends[first : last + 1] - ends[first]]
+            take = pa.array(here[some])
+            plain = _joined(decoded.take(take), cuts, b" ")
+            if want == "digest":
+                texts = _joined(coded.take(take), cuts, " ")
+                columns = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c]) for c in (texts, plain)]
+            else:
+                own = ids.take(take).flatten()
+                columns = [pa.LargeListArray.from_arrays(pa.array(tokens, pa.int64()), own).cast(pa.list_(pa.int32())), plain.cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), pa.array(np.diff(tokens), pa.int64()), *columns], schema=out)
+            first = last
+
     def run(batches):
         for batch in batches:
             for doc_ids, spans, at, route, encoded in zip(*(batch.column(c) for c in ("ids", "spans", "at", "route", "encoded")), strict=True):
-                doc_ids, spans, at = doc_ids.as_py(), unpack_numbers(spans.as_py()).astype(np.int64), unpack_numbers(at.as_py())
-                if len(at):
-                    sizes, ids, decoded = _word_table(encoded.as_py(), unpack_numbers(route.as_py()))
-                    coded = pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, ids.values.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))
-                else:
-                    sizes, ids, decoded, coded = np.empty(0, np.int64), pa.array([], pa.large_list(pa.int32())), pa.array([], pa.large_binary()), pa.array([], pa.large_string())
-                ends, first = np.concatenate([[0], np.cumsum(spans)]), 0
-                while first < len(doc_ids):
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_WORDS, "right")) - 1)
-                    here = at[ends[first] : ends[last]]
-                    some = sizes[here] > 0  # a word may have no ids
-                    cuts = np.concatenate([[0], np.cumsum(some)])[ends[first : last + 1] - ends[first]]
-                    tokens = np.concatenate([[0], np.cumsum(sizes[here])])[ends[first : last + 1] - ends[first]]
-                    take = pa.array(here[some])
-                    plain = _joined(decoded.take(take), cuts, b" ")
-                    if want == "digest":
-                        texts = _joined(coded.take(take), cuts, " ")
-                        columns = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c]) for c in (texts, plain)]
-                    else:
-                        own = ids.take(take).flatten()
-                        columns = [pa.LargeListArray.from_arrays(pa.array(tokens, pa.int64()), own).cast(pa.list_(pa.int32())), plain.cast(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), pa.array(np.diff(tokens), pa.int64()), *columns], schema=out)
-                    first = last
+                doc_ids, route, encoded = doc_ids.as_py(), unpack_numbers(route.as_py()), encoded.as_py() if encoded.is_valid else []
+                sizes, ids, decoded = _word_table(encoded, route) if len(route) else (np.empty(0, np.int64), pa.array([], pa.large_list(pa.int32())), pa.array([], pa.large_binary()))
+                coded = pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, ids.values.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))
+                del encoded
+                start = 0
+                for n, where in zip(spans, at, strict=True):
+                    n = unpack_numbers(n.as_py()).astype(np.int64)
+                    yield from rows(doc_ids[start : start + len(n)], n, unpack_numbers(where.as_py()), sizes, ids, decoded, coded)
+                    start += len(n)
 
     return run
 
@@ -299,5 +313,5 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    with Scratch(spark) as s:
+    with Scratch(spark) as s, batch_rows(spark, BATCH_ROWS):  # split texts are many times as large in memory
         return s.keep(bpe(docs, vocabulary_path("word_bpe_49k.json"), want="digest"))
