@@ -1,11 +1,12 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Spark splits the texts at ASCII white space.  The tokenizer drops white space before
-it merges, so a word's ids don't depend on its neighbours and each distinct word is
-encoded once by the library itself:
+The tokenizer drops white space before it merges, so a word's ids don't depend on its
+neighbours and each distinct word is encoded once by the library itself:
 
-1. the split texts are gathered into blocks of bounded size; a block keeps its
-   distinct words and, for each position, the number of the word there;
+1. texts are split at ASCII white space in the map tasks, by Arrow's kernel, and
+   gathered into blocks of bounded size; a block keeps its distinct words and, for
+   each position, the number of the word there (the JVM's own ``split`` gives the same
+   words, but its garbage fills the executor's heap beside the Python workers);
 2. the blocks' words meet by a hash of the word, and each distinct word of a
    partition is encoded once;
 3. the ids of the distinct words, one a row, are joined with the id-to-piece table
@@ -134,14 +135,23 @@ class _Block:
         )
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    some = pc.greater(pc.binary_length(flat), 0)  # the kernel gives empty words around white space at the ends
+    kept = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return flat.filter(some), np.diff(kept[np.concatenate([[0], np.cumsum(n)])])
+
+
 def _blocks(buckets: int, block_bytes: int):
-    """Split texts to blocks; a block is known by its partition and its place there."""
+    """Texts to blocks; a block is known by its partition and its place there."""
 
     def cut(batches):
         part, seq, block = TaskContext.get().partitionId() << 32, 0, _Block()
         for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
-            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            flat, n = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).to_pylist()
+            flat, n = _split(batch.column(1))
             ends = np.concatenate([[0], np.cumsum(n)])
             wide = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy().astype(np.int64) + 1)])[ends]
             first = 0
@@ -301,8 +311,7 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
     spark = df.sparkSession
     ship(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
-    blocks = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), split.alias("words")).mapInArrow(_blocks(buckets, block_bytes), _BLOCK_DDL).repartition(buckets, "block")
+    blocks = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(_blocks(buckets, block_bytes), _BLOCK_DDL).repartition(buckets, "block")
     words = blocks.mapInArrow(_lists, "block long, bucket int, packed binary").repartitionById(buckets, "bucket")
     tokens = words.mapInArrow(_encode(path), _TOKENS_DDL).alias("t")
     decoded = tokens.join(F.broadcast(piece_table(spark, path)).alias("p"), F.col("t.id") == F.col("p.id"), "left").select("t.*", "p.piece")
@@ -313,5 +322,5 @@ def bpe(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", want:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    with Scratch(spark) as s, batch_rows(spark, BATCH_ROWS):  # split texts are many times as large in memory
+    with Scratch(spark) as s, batch_rows(spark, BATCH_ROWS):  # keeps texts of a batch few beside the block's words
         return s.keep(bpe(docs, vocabulary_path("word_bpe_49k.json"), want="digest"))
