@@ -457,3 +457,20 @@ def test_pixels():
     assert abs(score - 0.9) < 1e-9 and box == [4, 4, 66, 26]
     matrix, grid = pixels.patches(np.zeros((3, 56, 28)))
     assert matrix.shape == (8, 1176) and grid == (4, 2)
+
+
+def test_text_fill_recognises_what_characters_leave(spark):
+    spans = spark.createDataFrame([(1, 0, 0, 0, 40, 10), (1, 1, 0, 20, 40, 30), (2, 0, 0, 0, 40, 10), (2, 1, 0, 20, 40, 30)], "page_id int, span_pos int, x0 int, y0 int, x1 int, y1 int")
+    letters = spark.createDataFrame([(1, 0, "a", 1.0, 1.0, 6.0, 9.0), (1, 1, "b", 12.0, 1.0, 17.0, 9.0)], "page_id int, idx int, c string, x0 double, y0 double, x1 double, y1 double")
+    said = lambda left: left.select("page_id", "span_pos", F.lit("seen").alias("text"), F.when(F.col("span_pos") == 1, 0.5).otherwise(0.9).alias("score"))
+    got = {(r.page_id, r.span_pos): (r.text, r.score) for r in chars.fill_text(letters, spans, said).collect()}
+    assert got == {(1, 0): ("a b", 1.0), (1, 1): ("", 0.0), (2, 0): ("seen", 0.9), (2, 1): ("", 0.0)}
+    assert {r.text for r in chars.fill_text(letters, spans).collect()} == {"a b", ""}
+
+
+def test_grid_edges_near_the_last_column():
+    import numpy as np
+    from quire.operators import wired
+
+    boxes = np.array([[0, 0, 50, 10], [100, 0, 110, 10], [0, 12, 50, 30], [112, 12, 130, 30]], float)
+    assert wired.recover_grid(boxes)[-1][2] == 3
