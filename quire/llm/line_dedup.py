@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +57,11 @@ _SIGN = 1 << 63
 
 
 def line_hash(line: str) -> int:
-    return line_hashes(line)[0]
+    return (xxhash.xxh3_128_intdigest(line.encode()) >> 64) - _SIGN
 
 
 def line_hashes(line: str) -> tuple[int, int]:
     """Both halves of a line's 128-bit hash, as signed numbers."""
-    import xxhash
-
     h = xxhash.xxh3_128_intdigest(line.encode())
     return (h >> 64) - _SIGN, (h & (2 * _SIGN - 1)) - _SIGN
 
@@ -96,8 +95,6 @@ def probes(n: int, length: int, edits: int) -> list[tuple[int, int, int]]:
 
 def line_keys(line: str, edits: int, per: int = 1) -> dict[int, int]:
     """Key to role of a line's segments (1) and probes (2); 3 is both."""
-    import xxhash
-
     n, keys = len(line), {}
     own = min(n // per, edits)
     if not own:
