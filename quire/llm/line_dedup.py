@@ -30,11 +30,14 @@ the order of ids, nulls last; other columns aren't read.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from quire.llm.blocks import Forest, block_pairs
 from quire.llm.packed import pack, unpack
@@ -93,22 +96,36 @@ def probes(n: int, length: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def line_keys(line: str, edits: int, per: int = 1) -> dict[int, int]:
-    """Key to role of a line's segments (1) and probes (2); 3 is both."""
-    n, keys = len(line), {}
+@lru_cache(maxsize=4096)
+def key_places(n: int, edits: int, per: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(start, end, seed, role) of the segments (1) and probes (2) of a line of n characters; 3 is both."""
+    places: dict[tuple[int, int, int], int] = {}
     own = min(n // per, edits)
-    if not own:
-        return keys
-    for i, (p, size) in enumerate(segments(n, own)):
-        k = xxhash.xxh3_64_intdigest(line[p : p + size].encode(), seed=n * 64 + i)
-        keys[k] = 1
-    for length in range(max(per, n - edits), n + 1):
-        most = min(length // per, edits)
-        if n - length > most:
-            continue
-        for i, s, size in probes(n, length, most):
-            k = xxhash.xxh3_64_intdigest(line[s : s + size].encode(), seed=length * 64 + i)
-            keys[k] = keys.get(k, 0) | 2
+    if own:
+        for i, (p, size) in enumerate(segments(n, own)):
+            places[p, p + size, n * 64 + i] = 1
+        for length in range(max(per, n - edits), n + 1):
+            most = min(length // per, edits)
+            if n - length <= most:
+                for i, s, size in probes(n, length, most):
+                    at = s, s + size, length * 64 + i
+                    places[at] = places.get(at, 0) | 2
+    return tuple((*at, role) for at, role in places.items())
+
+
+def line_keys(line: str, edits: int, per: int = 1) -> dict[int, int]:
+    """Key to role of a line's segments and probes."""
+    places = key_places(len(line), edits, per)
+    keys: dict[int, int] = {}
+    if line.isascii():  # a character is a byte, so the line is encoded once
+        data = line.encode()
+        for start, end, seed, role in places:
+            k = xxh3_64_intdigest(data[start:end], seed)
+            keys[k] = keys.get(k, 0) | role
+    else:
+        for start, end, seed, role in places:
+            k = xxh3_64_intdigest(line[start:end].encode(), seed)
+            keys[k] = keys.get(k, 0) | role
     return keys
 
 
