@@ -1,8 +1,11 @@
 """The corpus pipeline: stage by stage on hard cases, clean documents stay."""
 
+from pathlib import Path
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from quire.session import Scratch
 
 from .data import frame, texts, write
 
@@ -25,6 +28,28 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert docs.count() == corpus_pipeline.run(spark, folder).count()
 
 
+def test_a_stage_finds_only_its_input_on_disk(spark, tmp_path, monkeypatch):
+    folder = write(spark, tmp_path, texts(), [(i, 1, 0) for i in range(len(texts()))])
+    tables, found, init = [], {}, Scratch.__init__
+
+    def noted(self, session):
+        init(self, session)
+        tables.append(Path(self.root.removeprefix("file:")))
+
+    def watched(name, stage):
+        def run(*args):
+            found[name] = sorted(x.name for x in tables[0].iterdir()) if tables[0].exists() else []  # the pipeline's own folder is the first one made
+            return stage(*args)
+
+        return name, run
+
+    names, want = [name for name, _ in corpus_pipeline.STAGES], corpus_pipeline.run(spark, folder).count()
+    monkeypatch.setattr(Scratch, "__init__", noted)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*x) for x in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, folder).count() == want
+    assert found == {name: names[max(k - 1, 0) : k] for k, name in enumerate(names)}
+
+
 def test_empty_table(spark, tmp_path):
     folder = write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).collect() == []
