@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
-from quire.llm import bpe_words
+from quire.llm import bpe_words, line_dedup
 from quire.llm.batches import BYTES, batch_bytes, give_back
 
 
@@ -51,3 +51,11 @@ def test_no_row_of_a_block_holds_it_all(monkeypatch):
     texts = pa.RecordBatch.from_pydict({"doc_id": list(range(20_000)), "text": [" ".join(f"w{i * 7 + k}" for k in range(40)) for i in range(20_000)]})
     rows = [b.slice(i, 1).nbytes for b in bpe_words._blocks(64, 32 << 20)(iter([texts])) for i in range(b.num_rows)]
     assert max(rows) < sum(rows) / 5
+
+
+def test_line_dedup_asks_for_small_batches(spark, monkeypatch):
+    seen = []
+    real = line_dedup.line_links
+    monkeypatch.setattr(line_dedup, "line_links", lambda *a, **b: seen.append(int(spark.conf.get(BYTES, "0"))) or real(*a, **b))
+    line_dedup.query(spark, "/root/testdata/sf0.001").count()
+    assert 0 < seen[0] <= 8 << 20 and spark.conf.get(BYTES, None) is None
